@@ -278,4 +278,5 @@ def normalised(text: Column, zone: Column, home: str = "Europe/Zurich", zones: t
         day[none], iso[none] = None, None
         return pd.DataFrame({"kind": word, "day": day, "utc": iso})
 
-    return convert(text, zone)
+    # Not deterministic for the planner only: else a filter on a field makes Spark run the function twice.
+    return convert.asNondeterministic()(text, zone)
