@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import packing, spans, tokenizer
+from letterloom.functions.void import is_void
+from letterloom.llm import canonical, packing, spans, tokenizer, variants
 from letterloom.runtime import written
 
 CAPACITY = 2048
@@ -49,7 +50,52 @@ def p10_elsewhere(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.char_length("text").alias("zeichen")).join(gone, F.col("doc_id") == F.col("doc"), "left").select("doc_id", n.cast("long").alias("anderswo"), F.when(F.col("zeichen") > 0, F.round(n / F.col("zeichen"), 6)).otherwise(F.lit(0.0)).alias("anteil"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_elsewhere": p10_elsewhere}
+def _senders(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/correspondents.parquet")
+
+
+def _pending(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/pending_correspondents.parquet")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entry that each typed sender and each typed document type means, '' for none."""
+    pending = _pending(spark, d).where(F.col("pending_id").isNotNull())
+    senders = _senders(spark, d).select(F.col("corr_id").alias("pos"), "name", F.col("kuerzel").alias("kurz"), F.concat(F.coalesce("varianten", F.array()), F.coalesce("match", F.array())).alias("formen"))
+    types = spark.read.parquet(f"{d}/document_types.parquet").select(F.col("name").alias("pos"), "name", F.lit(None).cast("string").alias("kurz"), F.col("synonyme").alias("formen"))
+    typed = pending.where(F.coalesce(F.col("aktion") != "neu", F.lit(True))).select("pending_id", F.lit("llm_raw").alias("feld"), F.col("llm_raw").alias("wert"))
+    kind = F.col("vorgeschlagener_eintrag.default_dokumenttyp")
+    kinds = pending.where(~is_void(kind)).select("pending_id", F.lit("default_dokumenttyp").alias("feld"), kind.alias("wert"))
+    found = canonical.match_values(typed, senders, canonical.NameMatcher).unionByName(canonical.match_values(kinds, types, canonical.TermMatcher))
+    return found.select("pending_id", "feld", "ziel").distinct()
+
+
+def p4_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values that mean no entry, by how often they occur."""
+    found = p4_found(spark, d).where("ziel = ''").select("pending_id", "feld")
+    rows = _pending(spark, d).select("pending_id", F.explode(F.array(F.struct(F.lit("llm_raw").alias("feld"), F.col("llm_raw").alias("wert")), F.struct(F.lit("default_dokumenttyp").alias("feld"), F.col("vorgeschlagener_eintrag.default_dokumenttyp").alias("wert")))).alias("x")).select("pending_id", "x.*").distinct()
+    return rows.join(found, ["pending_id", "feld"]).groupBy("feld", "wert").agg(F.count("*").alias("n"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Group of each sender and of each new sender's row."""
+    none = F.array().cast("array<string>")
+    senders = _senders(spark, d).select(F.lit("correspondents").alias("quelle"), F.col("corr_id").alias("id"), "name", F.coalesce("varianten", none).alias("others"))
+    new = _pending(spark, d).where("aktion = 'neu'").select(F.lit("pending_correspondents").alias("quelle"), F.col("pending_id").alias("id"), F.col("llm_raw").alias("name"), none.alias("others"))
+    return variants.link(senders.unionByName(new).where("id is not null"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of rows that mean the same sender."""
+    return variants.linked_pairs(p7_groups(spark, d))
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_misses": p4_misses,
+    "p7_found": p7_found,
+    "p7_groups": p7_groups,
+    "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_elsewhere": p10_elsewhere}
 
 SQL: dict[str, str] = {
     "p10_elsewhere": r"""

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from letterloom.runtime import written
 
-GRAM, WINDOW = 16, 48
+GRAM, WINDOW = 16, 112
 #: Units shared by more texts than this are split by exact windows first (same result, other way).
 MANY = 64
 _BASE = 0xD6E8FEB86659FD93
@@ -193,14 +193,16 @@ def shared_spans(df: DataFrame, doc: str, text: str, least: int = 400) -> DataFr
     # Texts that another row stands for are few or many; either way they drop out before units are made.
     reps = texts.join(members.where("doc <> rep").select("doc").distinct(), "doc", "left_anti").dropDuplicates(["doc"])
     rows = written(_unit_rows(texts.join(members.where("doc <> rep").select("doc").distinct(), "doc", "left_anti"), reach), "span-units")
-    shared = rows.groupBy("unit").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("unit", "n")
+    shared = written(rows.groupBy("unit").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("unit", "n"), "span-shared")
     rows = rows.join(shared, "unit")
     few, many = rows.where(F.col("n") <= MANY), rows.where(F.col("n") > MANY)
     found = _measured(_meeting(few, few).distinct(), reps, least)
-    exact = _windows(many, reps, least)
-    again = exact.groupBy("unit").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("unit")
-    exact = exact.join(again, "unit")
-    found = found.unionByName(_meeting(exact, exact).select("a", "b")).distinct()
+    if shared.where(F.col("n") > MANY).limit(1).count():
+        exact = _windows(many, reps, least)
+        again = exact.groupBy("unit").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("unit")
+        exact = exact.join(again, "unit")
+        found = found.unionByName(_meeting(exact, exact).select("a", "b"))
+    found = found.distinct()
     # Expand representatives to their copies.
     copies = members.select(F.col("rep"), F.col("doc").alias("copy"))
     wide = found.join(copies.withColumnRenamed("rep", "a"), "a", "left").select("b", F.coalesce("copy", "a").alias("x")).join(copies.withColumnRenamed("rep", "b"), "b", "left").select("x", F.coalesce("copy", "b").alias("y"))
