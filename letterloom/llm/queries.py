@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions.void import is_void
-from letterloom.llm import canonical, packing, spans, tokenizer, variants
+from letterloom.llm import canonical, packing, scans, spans, tokenizer, variants
 from letterloom.runtime import written
 
 CAPACITY = 2048
@@ -58,6 +58,23 @@ def _pending(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pending_correspondents.parquet")
 
 
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/schulbericht_vision.parquet")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Broken and misread words, running heads and page numbers of the school reports."""
+    rows = scans.pages(_reports(spark, d), "document_id", ["volltext"], ["handschrift_zeilen"])
+    return scans.repairs(rows).select(F.col("doc").alias("document_id"), "feld", "art", "wert").distinct()
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    """The school reports as continuous paragraphs."""
+    rows = scans.pages(_reports(spark, d), "document_id", ["volltext"], ["handschrift_zeilen"])
+    found = written(scans.repairs(rows), "scan-cases")
+    return scans.reflow(rows, found).select(F.col("doc").alias("document_id"), "feld", "text")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The entry that each typed sender and each typed document type means, '' for none."""
     pending = _pending(spark, d).where(F.col("pending_id").isNotNull())
@@ -91,11 +108,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_text": p2_text,
     "p4_found": p4_found,
     "p4_misses": p4_misses,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
-    "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_elsewhere": p10_elsewhere}
+    "p8_ids": p8_ids,
+    "p9_packing": p9_packing,
+    "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_elsewhere": p10_elsewhere,
+}
 
 SQL: dict[str, str] = {
     "p10_elsewhere": r"""
