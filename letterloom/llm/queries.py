@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions.void import is_void
-from letterloom.llm import canonical, packing, scans, spans, tokenizer, variants
+from letterloom.llm import canonical, packing, pii, scans, spans, tokenizer, variants
 from letterloom.runtime import written
 
 CAPACITY = 2048
@@ -94,6 +94,21 @@ def p4_misses(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(found, ["pending_id", "feld"]).groupBy("feld", "wert").agg(F.count("*").alias("n"))
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    reports = pii.personal_data(_reports(spark, d), "document_id", "volltext").withColumn("quelle", F.lit("schulbericht_vision"))
+    return reports.unionByName(pii.personal_data(_senders(spark, d), "corr_id", "notiz").withColumn("quelle", F.lit("correspondents")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """E-mail addresses, phone and insurance numbers, street addresses and names in reports and notes."""
+    return _personal(spark, d).select("quelle", F.col("id").alias("satz_id"), F.explode("funde").alias("x")).select("quelle", "satz_id", "x.art", "x.fund").where("satz_id is not null").distinct()
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    """The same texts with typed placeholders in place of the personal data."""
+    return _personal(spark, d).select("quelle", F.col("id").alias("satz_id"), "maskiert").distinct()
+
+
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     """Group of each sender and of each new sender's row."""
     none = F.array().cast("array<string>")
@@ -112,6 +127,8 @@ QUERIES = {
     "p2_text": p2_text,
     "p4_found": p4_found,
     "p4_misses": p4_misses,
+    "p5_found": p5_found,
+    "p5_masked": p5_masked,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
