@@ -53,12 +53,12 @@ class SymmetricDelete:
         self.bound = bound
         self.index: dict[str, list[str]] = defaultdict(list)
         for w in sorted(words):
-            for d in deletes(sound(w), bound(len(w))):
+            for d in deletes(w, bound(len(w))) | deletes(sound(w), bound(len(w))):
                 self.index[d].append(w)
 
     def near(self, word: str) -> list[tuple[float, str]]:
         most = self.bound(len(word))
-        met = {w for d in deletes(sound(word), most) for w in self.index.get(d, ())}
+        met = {w for d in deletes(word, most) | deletes(sound(word), most) for w in self.index.get(d, ())}
         if not most:
             met &= {word}
         found = ((names.distance(word, w, max(most, self.bound(len(w)))), w) for w in met)

@@ -122,15 +122,17 @@ def distance(a: str, b: str, most: float) -> float:
         return most + 1
     before: list[float] = []
     row = [float(j) for j in range(m + 1)]
+    band = int(most / 0.7) + 1  # farther from the diagonal no path can stay within ``most``
     for i in range(1, n + 1):
-        now = [float(i)]
-        for j in range(1, m + 1):
-            x, y = a[i - 1], b[j - 1]
+        now = [float(i)] + [most + 1] * m
+        x = a[i - 1]
+        for j in range(max(1, i - band), min(m, i + band) + 1):
+            y = b[j - 1]
             cost = row[j - 1] + (0.0 if x == y else 0.5 if (x, y) in _ALIKE or (y, x) in _ALIKE else 1.0)
             cost = min(cost, row[j] + (0.7 if i > 1 and x == a[i - 2] else 1.0), now[j - 1] + (0.7 if j > 1 and y == b[j - 2] else 1.0))
             if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
                 cost = min(cost, before[j - 2] + 0.8)
-            now.append(cost)
+            now[j] = cost
         if min(now) > most and (not row or min(row) > most):
             return most + 1
         before, row = row, now
