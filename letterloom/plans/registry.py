@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from letterloom.plans import core_problems
+from letterloom.plans import audits, core_problems, texts
 
-MODULES = (core_problems,)
+MODULES = (core_problems, audits, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
