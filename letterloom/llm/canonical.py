@@ -52,12 +52,15 @@ class SymmetricDelete:
     def __init__(self, words: set[str], bound: Callable[[int], int]):
         self.bound = bound
         self.index: dict[str, list[str]] = defaultdict(list)
+        self.longest = max(map(len, words), default=0)
         for w in sorted(words):
             for d in deletes(w, bound(len(w))) | deletes(sound(w), bound(len(w))):
                 self.index[d].append(w)
 
     def near(self, word: str) -> list[tuple[float, str]]:
         most = self.bound(len(word))
+        if len(word) > self.longest + most:  # too long for any word within the bound
+            return []
         met = {w for d in deletes(word, most) | deletes(sound(word), most) for w in self.index.get(d, ())}
         if not most:
             met &= {word}

@@ -122,8 +122,9 @@ def test_lines_are_told_apart():
 
 
 def test_repair_of_a_small_corpus(spark):
-    page = "--- Seite {n} ---\nSchulgemeinde Moosau\nDer Unterricht wurde voll-\nständig erreicht und die Klasse ist\nfreundlich. Die Lese-\nund Schreibförderung bleibt wich-\n[{n}]"
-    end = "--- Seite 9 ---\nSchulgemeinde Moosau\ntig. Der Unterricht ist wichtig und vollständig.\n[9]"
+    body = "Der Unterricht ist wichtig.\nDie Klasse ist vollständig und wichtig.\nDer Unterricht ist freundlich.\nDie Klasse bleibt vollständig.\nDer Unterricht bleibt freundlich und wichtig.\nDie Klasse ist erreicht."
+    page = "--- Seite {n} ---\nSchulgemeinde Moosau\n" + body + "\nDer Unterricht wurde voll-\nständig erreicht und die Klasse ist\nfreundlich. Die Lese-\nund Schreibförderung bleibt wich-\n[{n}]"
+    end = "--- Seite 9 ---\nSchulgemeinde Moosau\ntig. Der Unterricht ist wichtig und vollständig.\n" + body + "\n[9]"
     texts = ["\n".join([page.format(n=1), end])] * 1 + ["\n".join([page.format(n=k), end]) for k in range(2, 12)]
     texts[3] = texts[3].replace("Der Unterricht wurde", "Der Unferricht wurde")
     rows = [(i, t, ["Das ist freund-", None, "lich."]) for i, t in enumerate(texts)] + [(50, None, None), (51, "", []), (52, " n/a ", [None])]
@@ -135,7 +136,8 @@ def test_repair_of_a_small_corpus(spark):
     assert (3, "volltext", "zeichen", "Unterricht") in got
     assert not {x for x in got if x[0] >= 50} and not {x for x in got if "Lese" in x[3]}
     text = {(r["doc"], r["feld"]): r["text"] for r in scans.reflow(scans.pages(df, "document_id", ["volltext"], ["handschrift_zeilen"]), cases).collect()}
-    assert text[3, "volltext"] == "Der Unterricht wurde vollständig erreicht und die Klasse ist freundlich. Die Lese- und Schreibförderung bleibt wichtig. Der Unterricht ist wichtig und vollständig."
+    flat = body.replace("\n", " ")
+    assert text[3, "volltext"] == f"{flat} Der Unterricht wurde vollständig erreicht und die Klasse ist freundlich. Die Lese- und Schreibförderung bleibt wichtig. Der Unterricht ist wichtig und vollständig. {flat}"
     assert text[0, "handschrift_zeilen"] == "Das ist freundlich."
 
 
