@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from letterloom.plans import audits, core_problems, histories, matches, texts
+from letterloom.plans import audits, core_problems, details, histories, matches, texts
 
-MODULES = (core_problems, audits, texts, matches, histories)
+MODULES = (core_problems, audits, texts, matches, histories, details)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
