@@ -253,6 +253,7 @@ _TOWN = re.compile(r",?\s+(?:in\s+|à\s+|a\s+)?(?:CH-|CH )?\d{4}\s+[A-ZÄÖÜÉ
 # Words before or after a name that make it one of an organisation; forms of address.
 _ORG_BEFORE = {"stiftung", "verein", "garage", "firma", "restaurant", "bäckerei", "metzgerei", "hotel", "gasthof"}
 _ORG_AFTER = {"ag", "gmbh", "sa", "sàrl", "treuhand", "söhne", "co", "genossenschaft", "stiftung"}
+_PARTICLES = {"von", "van", "de", "di", "da", "du", "del", "della", "zu", "zur"}
 _ADDRESS_FORMS = {"frau", "herr", "herrn", "madame", "monsieur", "signora", "signor", "familie", "fam", "dr", "prof", "mme", "beistand", "mutter", "vater", "vaters", "schülerin", "schüler"}
 
 
@@ -311,6 +312,11 @@ def _names(text: str, a: int, b: int) -> list[tuple[int, int]]:
         titled = False
         while len(own) > 1 and own[0][0].lower() in _ADDRESS_FORMS:
             own, titled = own[1:], True
+        # Small words at either end are no part of a name, but for those that begin a surname.
+        while own and own[-1][0][0].islower():
+            own = own[:-1]
+        while own and own[0][0][0].islower() and own[0][0] not in _PARTICLES:
+            own = own[1:]
         if not own or not any(w[0][0].isupper() and len(w[0]) > 1 for w in own):
             continue
         start, end = a + own[0][1], a + own[-1][2]
@@ -318,7 +324,7 @@ def _names(text: str, a: int, b: int) -> list[tuple[int, int]]:
         after = [t[0].lower() for t in tokens(text[end : end + 30])][:2]
         if before and before[-1] in _ORG_BEFORE or after and (after[0] in _ORG_AFTER or after[0] in "&+"):
             continue
-        if len(own) == 1 and not titled and not set(before) & _ADDRESS_FORMS:
+        if sum(w[0] not in _PARTICLES for w in own) == 1 and not titled and not set(before) & _ADDRESS_FORMS:
             continue
         out.append((start, end))
     return out
