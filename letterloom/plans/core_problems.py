@@ -9,6 +9,7 @@ from letterloom.functions.void import is_void, trimmed
 from letterloom.operators import history as H
 from letterloom.operators import nested as N
 from letterloom.operators.timestamps import normalised
+from letterloom.plans import date_sql
 
 SECTIONS, EYES = ("messung", "fern", "naehe"), ("rechts", "links")
 EYE_FIELDS = ("sph", "cyl", "achse", "prisma", "basis", "add")
@@ -83,7 +84,7 @@ def p3_merge(spark: SparkSession, d: str) -> DataFrame:
     keys = ["person_id"]
     old = H.history(H.latest_per_date(rows.where(F.col("stand") < middle), keys, "tag", VALUE_COLUMNS, rank), keys, "tag", VALUE_COLUMNS)
     new = H.latest_per_date(rows.where(~(F.col("stand") < middle) | F.col("stand").isNull()), keys, "tag", VALUE_COLUMNS, rank)
-    return H.merge(old, new, keys, "tag", VALUE_COLUMNS).select("person_id", "von", F.coalesce("bis", F.lit("")).alias("bis"), "attr_hash")
+    return H.merge(old, new, keys, "tag", VALUE_COLUMNS).select("person_id", "von", F.coalesce("bis", F.lit("")).alias("bis"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,3 +101,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p3_found": p3_found, "p3_merge": p3_merge, "p6_found": p6_found}
+
+_VOID = "('', 'null', 'none', 'n/a', '-', '–', '—')"
+_EYE = " OR ".join(f"lower(trim(coalesce(e.{f}, ''))) NOT IN {_VOID}" for f in EYE_FIELDS)
+
+
+def _any(column: str) -> str:
+    return f"len(list_filter(coalesce({column}, []), lambda x: lower(trim(coalesce(x, ''))) NOT IN {_VOID})) > 0"
+
+
+def _filled_sql(column: str) -> str:
+    return f"lower(trim(coalesce({column}, ''))) NOT IN {_VOID}"
+
+
+_MUSTER = " OR ".join([_filled_sql("m.value.regex"), _any("m.value.label_hints"), _filled_sql("m.value.beispiel"), "m.value.custom_field_id IS NOT NULL"])
+_BEZIEHUNG = " OR ".join([*(_filled_sql(f"b.{f}") for f in ("person", "bezeichnung", "referenznummer", "ordner")), *(_any(f"b.{f}") for f in ("erlaubte_doctypen", "stichworte", "fix_tags"))])
+SQL = {
+    "p1_found": f"""WITH v AS (SELECT satz_id, unnest(versionen) v, generate_subscripts(versionen, 1) - 1 i FROM brillenpaesse),
+eyes AS ({" UNION ALL ".join(f"SELECT satz_id, 'versionen[' || i || '].{a}.{b}' pfad, v.{a}.{b} e FROM v" for a in SECTIONS for b in EYES)}),
+raw AS (SELECT DISTINCT record_id, zeile FROM brillenpass_roh WHERE json_valid(zeile)),
+tree AS (SELECT record_id, replace(substr(t.fullkey, 3), '"', '') k, t.type, t.atom FROM raw, json_tree(raw.zeile) t),
+holders AS (SELECT record_id, k FROM tree WHERE type = 'OBJECT' AND regexp_matches(k, '(^|\\.)versionen(\\[[0-9]+\\]|\\.[^.]+)\\.(messung|fern|naehe)\\.(rechts|links)$')),
+leaves AS (SELECT record_id, k FROM tree WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL') AND lower(trim(json_extract_string(atom, '$'))) NOT IN {_VOID})
+SELECT DISTINCT 'brillenpaesse' quelle, satz_id, pfad FROM eyes WHERE {_EYE}
+UNION SELECT 'correspondents', corr_id, 'extraktion_muster.' || m.key FROM (SELECT corr_id, unnest(map_entries(extraktion_muster)) m FROM correspondents) WHERE {_MUSTER}
+UNION SELECT 'correspondents', corr_id, 'beziehungen[' || i || ']' FROM (SELECT corr_id, unnest(beziehungen) b, generate_subscripts(beziehungen, 1) - 1 i FROM correspondents) WHERE {_BEZIEHUNG}
+UNION SELECT 'brillenpass_roh', h.record_id, h.k FROM holders h JOIN leaves l ON h.record_id = l.record_id AND starts_with(l.k, h.k || '.')""",
+    "p3_found": date_sql.P3,
+    "p3_merge": date_sql.P3,
+    "p6_found": date_sql.P6,
+}
