@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from letterloom.llm.names import distance
 from letterloom.runtime import written
 
-#: Most frequent words with a vector and their most frequent pairs; words that mark furniture; these bound what goes to the driver and the workers.
-VECTOR_WORDS, VECTOR_PAIRS, FURNITURE_WORDS, DIMENSIONS = 3000, 120_000, 2000, 32
+#: Most frequent words with a vector and their most frequent pairs; these bound what goes to the driver and the workers.
+VECTOR_WORDS, VECTOR_PAIRS, DIMENSIONS = 3000, 120_000, 32
+#: Words of running heads that are compared with others at a time; all are, block by block.
+HEAD_BLOCK = 20_000
 #: A frequent word is at least so frequent, and so many times as frequent as the misread one.
 LEAST, RATIO = 4, 6
 
@@ -76,44 +78,35 @@ def boundaries(lines: list[str]) -> set[int]:
     return {i for i in near if not _MARK.match(lines[i]) and not is_number(lines[i])}
 
 
-class Furniture:
-    """Tells running heads by words that stand next to page boundaries and hardly anywhere else."""
-
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.head = {w for w, near, away in rows if near >= 3 and near >= 1.5 * away}
-        self.body = {w for w, near, away in rows if away >= 5 and away > near}
-        self.count = {w: near + away for w, near, away in rows}
-        self.by_size: dict[int, list[str]] = {}
-        for w in self.head:
-            if len(w) >= 6:
-                self.by_size.setdefault(len(w), []).append(w)
-        self.known: dict[str, bool] = {}
-
-    def is_head_word(self, w: str) -> bool:
-        if w not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            most = 1 if len(w) < 8 else 2
-            # A word of the body is a misread one only where a single glyph differs from a far more frequent word of heads.
-            most, least = (most, 0) if w not in self.body else (0.5, 5 * self.count.get(w, 0))
-            self.known[w] = w in self.head or len(w) >= 6 and any(self.count[x] >= least and distance(w.replace("'", "~"), x, most) <= most for n in range(len(w) - 2, len(w) + 3) for x in self.by_size.get(n, ()))
-        return self.known[w]
-
-    def is_head(self, line: str) -> bool:
-        text = line.strip()
-        if not text or len(text) > 90 or text[-1] in ".!?;:" or text[0].islower() or re.search(r"[^\W\d_]{2}\.\s", text):
-            return False
-        found = [w for w in words(text) if any(c.isalpha() for c in w) and len(w) > 2]
-        if not found or len(found) > 8 or not self.is_head_word(found[0]):
-            return False
-        heads = sum(self.is_head_word(w) for w in found)
-        body = sum(w in self.body and w[0].islower() for w in found)
-        return heads > body and (heads * 2 >= len(found))
-
-
-def layout(lines: list[str], furniture: Furniture) -> list[str]:
+def head_form(line: str) -> list[str]:
+    """The words of a line that has the form of a running head; none for other lines."""
+    text = line.strip()
+    if not text or len(text) > 90 or text[-1] in ".!?;:" or text[0].islower() or re.search(r"[^\W\d_]{2}\.\s", text):
+        return []
+    found = [w for w in words(text) if any(c.isalpha() for c in w) and len(w) > 2]
+    return found if len(found) <= 8 else []
+
+
+def misread_heads(known: list[tuple[str, int, bool]], heads: list[tuple[str, int]]) -> list[str]:
+    """Those of ``known`` (word, count, whether it is a word of the body) that one of ``heads`` (word, count) misread may be."""
+    by_size: dict[int, list[tuple[str, int]]] = {}
+    for x, n in heads:
+        by_size.setdefault(len(x), []).append((x, n))
+    out = []
+    for w, n, body in known:
+        if len(w) < 6:
+            continue
+        # A word of the body is a misread one only where a single glyph differs from a far more frequent word of heads.
+        most, least = (0.5, 5 * n) if body else (1 if len(w) < 8 else 2, 0)
+        plain_w = w.replace("'", "~")
+        if any(k >= least and distance(plain_w, x, most) <= most for m in range(len(w) - 2, len(w) + 3) for x, k in by_size.get(m, ())):
+            out.append(w)
+    return out
+
+
+def layout(lines: list[str], heads: set[str]) -> list[str]:
     """mark, number, head, blank or text for each line."""
-    return ["mark" if _MARK.match(x) else "blank" if x.strip().lower() in _VOID and x.strip() in ("", *"-–—") else "number" if is_number(x) else "head" if furniture.is_head(x) else "text" for x in lines]
+    return ["mark" if _MARK.match(x) else "blank" if x.strip().lower() in _VOID and x.strip() in ("", *"-–—") else "number" if is_number(x) else "head" if x.strip() in heads else "text" for x in lines]
 
 
 def broken(first_line: str, second_line: str) -> tuple[str, str, str] | None:
@@ -183,18 +176,19 @@ def pages(df: DataFrame, key: str, texts: list[str], arrays: list[str]) -> DataF
 
 
 def statistics(rows: DataFrame) -> DataFrame:
-    """(kind, a, b, n) over all rows: word counts (w), words near page boundaries (p) and neighbours within two words (c).
+    """(kind, a, b, n) over all rows: word counts (w), words near page boundaries (p), first words of lines in the form of
+    running heads (f) and neighbours within two words (c).
 
     Each task adds up first; neighbours are counted for words that are frequent in the task's own rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every, beside, pairs = Counter(), Counter(), Counter()
+        every, beside, firsts, pairs = Counter(), Counter(), Counter(), Counter()
 
         def flush() -> pd.DataFrame:
-            out = [("w", w, "", n) for w, n in every.items()] + [("p", w, "", n) for w, n in beside.items()]
+            out = [("w", w, "", n) for w, n in every.items()] + [("p", w, "", n) for w, n in beside.items()] + [("f", w, "", n) for w, n in firsts.items()]
             out += [("c", a, b, n) for (a, b), n in pairs.items() if a and b]
-            for c in (every, beside, pairs):
+            for c in (every, beside, firsts, pairs):
                 c.clear()
             return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
 
@@ -206,6 +200,7 @@ def statistics(rows: DataFrame) -> DataFrame:
                 for i, line in enumerate(lines):
                     if not line.strip() or _MARK.match(line) or is_number(line):
                         continue
+                    firsts.update(head_form(line)[:1])
                     found = words(line)
                     cut = line.rstrip().rstrip(".")[-1:] in HYPHENS
                     inner = [w if plain(w) else "" for w in found[int(open_ and i not in near) : -1 if cut else None]]
@@ -216,7 +211,7 @@ def statistics(rows: DataFrame) -> DataFrame:
                         beside.update(known)
                     pairs.update(zip(inner, inner[1:]))
                     pairs.update(zip(inner, inner[2:]))
-            if len(every) + len(pairs) > 400_000:
+            if len(every) + len(firsts) + len(pairs) > 400_000:
                 yield flush()
         yield flush()
 
@@ -255,8 +250,7 @@ def vectors(neighbours: list[tuple[str, str, int]], vocabulary: dict[str, int])
 class Reader:
     """What the workers need to know: bounded by the numbers at the top of the module."""
 
-    def __init__(self, furniture: list[tuple[str, int, int]], frequent: dict[str, int], space: dict[str, np.ndarray]):
-        self.furniture = Furniture(furniture)
+    def __init__(self, frequent: dict[str, int], space: dict[str, np.ndarray]):
         self.frequent = frequent
         self.space = space
 
@@ -270,21 +264,68 @@ class Reader:
         return float(np.mean([self.space[word] @ self.space[c] for c in context]))
 
 
-def learn(rows: DataFrame) -> tuple[DataFrame, DataFrame, Reader]:
-    """(word counts, corrections of rare words, reader) from all rows."""
+def head_words(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, head, body) of the distinct words ``wanted``. Words of running heads stand next to page boundaries and hardly
+    anywhere else, or are one of those misread; every word is told by its own counts, joined to it."""
+    head = (F.col("near") >= 3) & (F.col("near") >= 1.5 * (F.col("n") - F.col("near")))
+    body = (F.col("n") - F.col("near") >= 5) & (F.col("n") - F.col("near") > F.col("near"))
+    known = wanted.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(head, F.lit(False)).alias("head"), F.coalesce(body, F.lit(False)).alias("body"))
+    known = written(known, "scan-known")
+    heads = counts.where(head & (F.length("word") >= 6)).select("word", "n")
+    blocks = max(1, -(-heads.count() // HEAD_BLOCK))
+    found = known.where("head").select("word")
+    for b in range(blocks):
+        block = [(r["word"], r["n"]) for r in heads.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b).collect()]
+        shared = wanted.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                yield pd.DataFrame({"word": misread_heads(list(zip(x["word"].tolist(), x["n"].tolist(), x["body"].tolist(), strict=True)), shared.value)}, dtype=object)
+
+        rest = known.where("not head and length(word) >= 6").select("word", "n", "body")
+        # Few words make one small file, but each is compared with a whole block.
+        rest = rest.repartition(wanted.sparkSession.sparkContext.defaultParallelism, "word")
+        found = found.unionByName(written(rest.mapInPandas(run, "word string"), "scan-misread-heads"))
+        shared.destroy()
+    return known.join(found.distinct().withColumn("_found", F.lit(True)), "word", "left").select("word", F.col("_found").isNotNull().alias("head"), "body")
+
+
+def head_lines(rows: DataFrame, stats: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc, feld, heads): the running heads of each text that has any, trimmed: lines that begin with a word of heads, and
+    that words of heads outweigh words of the body in."""
+    first = written(head_words(stats.where("kind = 'f'").select(F.col("a").alias("word")), counts).where("head").select(F.col("word").alias("first")), "scan-first-words")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, feld, lines in zip(batch["doc"], batch["feld"], batch["lines"], strict=True):
+                for line in {x.strip() for x in lines if x}:
+                    if found := head_form(line):
+                        out.append((doc, feld, line, found[0], found))
+            yield pd.DataFrame(out, columns=["doc", "feld", "line", "first", "found"])
+
+    lines = written(rows.mapInPandas(run, "doc long, feld string, line string, first string, found array<string>").join(first, "first", "left_semi"), "scan-head-forms")
+    parts = lines.select("line", "found").dropDuplicates(["line"]).select("line", F.explode("found").alias("word"))
+    kinds = head_words(parts.select("word").distinct(), counts)
+    small = F.col("body") & (F.lower(F.substring("word", 1, 1)) == F.substring("word", 1, 1)) & (F.upper(F.substring("word", 1, 1)) != F.substring("word", 1, 1))
+    sums = parts.join(kinds, "word").groupBy("line").agg(F.count("*").alias("n"), F.count_if("head").alias("heads"), F.count_if(small).alias("small"))
+    sure = sums.where("heads > small and heads * 2 >= n").select("line")
+    return lines.select("doc", "feld", "line").join(sure, "line", "left_semi").groupBy("doc", "feld").agg(F.collect_set("line").alias("heads"))
+
+
+def learn(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Reader]:
+    """(word counts, corrections of rare words, running heads of each text, reader) from all rows."""
     stats = written(statistics(rows), "scan-statistics")
     counts = stats.where("kind = 'w'").select(F.col("a").alias("word"), "n")
     near = stats.where("kind = 'p'").select(F.col("a").alias("word"), F.col("n").alias("near"))
-    ranked = counts.join(near, "word", "left").select("word", "n", F.coalesce("near", F.lit(0)).alias("near"))
+    ranked = written(counts.join(near, "word", "left").select("word", "n", F.coalesce("near", F.lit(0)).alias("near")), "scan-words")
     fixes = written(corrections(counts), "scan-corrections")
     top = {r["word"]: r["n"] for r in counts.where(F.col("n") >= LEAST).join(fixes.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(VECTOR_WORDS).collect()}
-    furniture = [(r["word"], r["near"], r["n"] - r["near"]) for r in ranked.where("near >= 3 and near >= 1.5 * (n - near)").orderBy(F.desc("near"), "word").limit(FURNITURE_WORDS).collect()]
-    body = [(r["word"], r["near"], r["n"] - r["near"]) for r in ranked.where("n - near >= 5 and n - near > near").orderBy(F.desc("n"), "word").limit(VECTOR_WORDS).collect()]
     known = rows.sparkSession.createDataFrame([(w,) for w in top] or [("",)], "a string")
     pairs = stats.where("kind = 'c'").join(F.broadcast(known), "a").join(F.broadcast(known.withColumnRenamed("a", "b")), "b")
     met = pairs.select("a", "b", F.col("n").cast("int")).orderBy(F.desc("n"), "a", "b").limit(VECTOR_PAIRS).toPandas()
     space = vectors(list(zip(met["a"], met["b"], met["n"], strict=True)), top)
-    return counts, fixes, Reader(furniture + body, top, space)
+    return counts, fixes, head_lines(rows, stats, ranked), Reader(top, space)
 
 
 def corrections(counts: DataFrame) -> DataFrame:
@@ -300,7 +341,7 @@ def corrections(counts: DataFrame) -> DataFrame:
     return tried.join(frequent, "right").where(F.col("n_right") >= RATIO * F.col("n_word")).select("word", "right", "n_right")
 
 
-def findings(rows: DataFrame, reader: Reader) -> DataFrame:
+def findings(rows: DataFrame, heads: DataFrame, reader: Reader) -> DataFrame:
     """(doc, feld, art, wert, word, first, second, line, context) of each text, before rare words are looked up.
 
     art: kopf, seitenzahl; trennung (wert is the joined word); wort (a word that is not among the most frequent ones,
@@ -312,9 +353,9 @@ def findings(rows: DataFrame, reader: Reader) -> DataFrame:
         r = shared.value
         for batch in batches:
             out = []
-            for doc, feld, lines in zip(batch["doc"], batch["feld"], batch["lines"], strict=True):
+            for doc, feld, lines, own in zip(batch["doc"], batch["feld"], batch["lines"], batch["heads"], strict=True):
                 lines = [x or "" for x in lines]
-                kinds = layout(lines, r.furniture)
+                kinds = layout(lines, set(own) if own is not None else set())
                 taken: set[tuple[int, int]] = set()  # (line, word from the front or, negative, from the end) that is part of a broken word
                 for i, (x, k) in enumerate(zip(lines, kinds, strict=True)):
                     if k in ("head", "number"):
@@ -338,14 +379,14 @@ def findings(rows: DataFrame, reader: Reader) -> DataFrame:
                         out.append((doc, feld, "wort", w, w, r.context(found, p)))
             yield pd.DataFrame(out, columns=["doc", "feld", "art", "wert", "word", "context"]).drop_duplicates(subset=["doc", "feld", "art", "wert", "word"])
 
-    return rows.mapInPandas(run, "doc long, feld string, art string, wert string, word string, context array<string>")
+    return rows.join(heads, ["doc", "feld"], "left").mapInPandas(run, "doc long, feld string, art string, wert string, word string, context array<string>")
 
 
 def repairs(rows: DataFrame) -> DataFrame:
     """(doc, feld, art, wert, word): the cases found, with the spelling in the text (``word``) where it differs."""
-    rows = rows.dropDuplicates(["doc", "feld", "lines"])
-    counts, fixes, reader = learn(rows)
-    found = written(findings(rows, reader), "scan-findings")
+    rows = rows.repartition("doc", "feld").dropDuplicates(["doc", "feld", "lines"])
+    counts, fixes, heads, reader = learn(rows)
+    found = written(findings(rows, heads, reader), "scan-findings")
     shared = rows.sparkSession.sparkContext.broadcast(reader)
 
     @F.pandas_udf("double")

@@ -141,6 +141,18 @@ def test_repair_of_a_small_corpus(spark):
     assert text[0, "handschrift_zeilen"] == "Das ist freundlich."
 
 
+def test_heads_are_told_by_all_words(spark, monkeypatch):
+    body = "Die Klasse lernt Musik und Malen.\nDas Kind malt und singt gern.\nKlasse und Kind sind wach"
+    body = "\n".join([body] * 4)
+    texts = [f"--- Seite 1 ---\nOberstufe {'Birkcntal' if k == 4 else 'Birkental'}\n{body}\n--- Seite 2 ---\nSekundar Lindenhof\n{body}" for k in range(9)]
+    rows = scans.pages(spark.createDataFrame(list(enumerate(texts)), "document_id long, volltext string").withColumn("h", scans.F.lit(None).cast("array<string>")), "document_id", ["volltext"], ["h"])
+    heads = lambda: {(r["doc"], r["wert"]) for r in scans.repairs(rows).where("art = 'kopf'").collect()}
+    want = {(k, x) for k in range(9) for x in (f"Oberstufe {'Birkcntal' if k == 4 else 'Birkental'}", "Sekundar Lindenhof")}
+    for name in ("VECTOR_WORDS", "FURNITURE_WORDS", "HEAD_BLOCK"):
+        monkeypatch.setattr(scans, name, 1, raising=False)
+    assert heads() == want
+
+
 def test_viterbi_matches_all_paths():
     rng = np.random.default_rng(3)
     k = len(pii.LABELS)
