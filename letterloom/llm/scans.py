@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from letterloom.llm.names import distance
 from letterloom.runtime import written
 
-#: Most frequent words with a vector and their most frequent pairs; these bound what goes to the driver and the workers.
-VECTOR_WORDS, VECTOR_PAIRS, DIMENSIONS = 3000, 120_000, 32
+#: Most frequent words with a vector; all pairs of these count. This bounds what goes to the driver and the workers.
+VECTOR_WORDS, DIMENSIONS = 3000, 32
 #: Words of running heads that are compared with others at a time; all are, block by block.
 HEAD_BLOCK = 20_000
 #: A frequent word is at least so frequent, and so many times as frequent as the misread one.
@@ -218,24 +218,23 @@ def statistics(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def vectors(neighbours: list[tuple[str, str, int]], vocabulary: dict[str, int]) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of the vocabulary from neighbour counts: factorised positive mutual information."""
-    index = {w: i for i, w in enumerate(vocabulary)}
-    n = len(index)
+def vectors(i: np.ndarray, j: np.ndarray, counts: np.ndarray, vocabulary: dict[str, int]) -> dict[str, np.ndarray]:
+    """Skip-gram vectors of the vocabulary from the counts of all its neighbours (each pair of places i, j once):
+    factorised positive mutual information."""
+    n = len(vocabulary)
     if not n:
         return {}
     m = np.zeros((n, n), dtype=np.float32)
-    for a, b, c in neighbours:
-        if a in index and b in index:
-            m[index[a], index[b]] += c
-            m[index[b], index[a]] += c
+    m[i, j] += counts
+    m[j, i] += counts
     total = max(float(m.sum()), 1.0)
     p = m.sum(axis=1, keepdims=True)
     smooth = np.power(p, 0.75)
     smooth *= total / max(float(smooth.sum()), 1.0)
     pmi = m
-    i, j = np.nonzero(m)
-    pmi[i, j] = np.maximum(np.log(m[i, j] * total / (p[i, 0] * smooth[j, 0])), 0)
+    for r in range(n):
+        j = np.nonzero(m[r])[0]
+        pmi[r, j] = np.maximum(np.log(m[r, j] * total / (p[r, 0] * smooth[j, 0])), 0)
     # Randomised subspace iteration: the leading part of the spectrum is enough.
     rng = np.random.default_rng(7)
     k = min(DIMENSIONS, n)
@@ -244,7 +243,7 @@ def vectors(neighbours: list[tuple[str, str, int]], vocabulary: dict[str, int])
         q = np.linalg.qr(pmi @ (pmi.T @ q))[0]
     v = pmi.T @ q
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    return {w: v[i] for w, i in index.items()}
+    return {w: v[i] for i, w in enumerate(vocabulary)}
 
 
 class Reader:
@@ -321,10 +320,10 @@ def learn(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Reader]:
     ranked = written(counts.join(near, "word", "left").select("word", "n", F.coalesce("near", F.lit(0)).alias("near")), "scan-words")
     fixes = written(corrections(counts), "scan-corrections")
     top = {r["word"]: r["n"] for r in counts.where(F.col("n") >= LEAST).join(fixes.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(VECTOR_WORDS).collect()}
-    known = rows.sparkSession.createDataFrame([(w,) for w in top] or [("",)], "a string")
-    pairs = stats.where("kind = 'c'").join(F.broadcast(known), "a").join(F.broadcast(known.withColumnRenamed("a", "b")), "b")
-    met = pairs.select("a", "b", F.col("n").cast("int")).orderBy(F.desc("n"), "a", "b").limit(VECTOR_PAIRS).toPandas()
-    space = vectors(list(zip(met["a"], met["b"], met["n"], strict=True)), top)
+    known = rows.sparkSession.createDataFrame([(w, i) for i, w in enumerate(top)] or [("", 0)], "a string, i int")
+    pairs = stats.where("kind = 'c'").join(F.broadcast(known), "a").join(F.broadcast(known.select(F.col("a").alias("b"), F.col("i").alias("j"))), "b")
+    met = pairs.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.sum("n").alias("n")).toArrow()
+    space = vectors(*(met[c].to_numpy() for c in ("i", "j", "n")), top)
     return counts, fixes, head_lines(rows, stats, ranked), Reader(top, space)
 
 

@@ -153,6 +153,26 @@ def test_heads_are_told_by_all_words(spark, monkeypatch):
     assert heads() == want
 
 
+def test_vectors_count_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(scans, "VECTOR_PAIRS", 1, raising=False)
+    rows = spark.createDataFrame([(k, "volltext", ["", "eins zwei drei vier eins", "eins drei", "vier zwei zwei"]) for k in range(5)], "doc long, feld string, lines array<string>")
+    space = scans.learn(rows)[-1].space
+    words = ["drei", "eins", "vier", "zwei"]
+    m = np.zeros((4, 4))
+    for line in ("eins zwei drei vier eins", "eins drei", "vier zwei zwei"):
+        at = [words.index(w) for w in line.split()]
+        for a, b in [*zip(at, at[1:]), *zip(at, at[2:])]:
+            m[a, b] += 5
+            m[b, a] += 5
+    p = m.sum(axis=1)
+    smooth = p**0.75 * m.sum() / (p**0.75).sum()
+    pmi = np.maximum(np.log(np.where(m > 0, m, 1e-9) * m.sum() / np.outer(p, smooth)), 0)
+    # Cosines don't depend on the rotation of the vectors.
+    v = pmi / np.linalg.norm(pmi, axis=0)
+    got = np.array([space[w] for w in words])
+    assert np.allclose(got @ got.T, v.T @ v, atol=1e-3)
+
+
 def test_viterbi_matches_all_paths():
     rng = np.random.default_rng(3)
     k = len(pii.LABELS)
