@@ -10,6 +10,7 @@ from letterloom.operators import history as H
 from letterloom.operators import nested as N
 from letterloom.operators.timestamps import normalised
 from letterloom.plans import date_sql
+from letterloom.runtime import written
 
 SECTIONS, EYES = ("messung", "fern", "naehe"), ("rechts", "links")
 EYE_FIELDS = ("sph", "cyl", "achse", "prisma", "basis", "add")
@@ -82,9 +83,10 @@ def p3_merge(spark: SparkSession, d: str) -> DataFrame:
     rank = [F.col("stand"), F.col("ordinal"), F.col("satz_id")]
     middle = F.lit("2020-01-01").cast("timestamp_ntz")
     keys = ["person_id"]
-    old = H.history(H.latest_per_date(rows.where(F.col("stand") < middle), keys, "tag", VALUE_COLUMNS, rank), keys, "tag", VALUE_COLUMNS)
+    dated = written(H.latest_per_date(rows.where(F.col("stand") < middle), keys, "tag", VALUE_COLUMNS, rank), "dated-prescriptions")
+    old = H.history(dated, keys, "tag", VALUE_COLUMNS)
     new = H.latest_per_date(rows.where(~(F.col("stand") < middle) | F.col("stand").isNull()), keys, "tag", VALUE_COLUMNS, rank)
-    return H.merge(old, new, keys, "tag", VALUE_COLUMNS).select("person_id", "von", F.coalesce("bis", F.lit("")).alias("bis"))
+    return H.merge(old, new, keys, "tag", VALUE_COLUMNS, dated=dated).select("person_id", "von", F.coalesce("bis", F.lit("")).alias("bis"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -140,6 +140,18 @@ def test_history_and_merge_match_brute_force(spark):
     assert sorted(((r["k"], r["von"], r["bis"], r["value"]) for r in new.collect()), key=str) == sorted(brute_history(versions), key=str)
 
 
+def test_late_version_between_two_equal_dates(spark):
+    rows = [("p", "2020-01-01", "a"), ("p", "2020-01-03", "a"), ("q", "2020-01-01", "a"), ("q", "2020-01-05", "a"), ("q", "2020-01-09", "b"), ("r", "2020-01-01", "a"), ("r", "2020-01-02", "a")]
+    late = [("p", "2020-01-02", "b"), ("q", "2020-01-05", "c"), ("q", "2020-01-07", "b")]
+    schema = "k string, day string, value string"
+    dated, new = spark.createDataFrame(rows, schema), spark.createDataFrame(late, schema)
+    old = history.history(dated, ["k"], "day", ["value"])
+    got = history.merge(old, new, ["k"], "day", ["value"], dated=dated)
+    want = brute_history([(*r, 0) for r in rows] + [(*r, 1) for r in late])
+    assert sorted((tuple(r)[:4] for r in got.select("k", "von", "bis", "value").collect()), key=str) == sorted(want, key=str)
+    assert ("p", "2020-01-03", None, "a") in want and ("r", "2020-01-01", None, "a") in want
+
+
 def test_queues(spark):
     q = spark.createDataFrame([(1, 1, ["a", "b"], "", "t1", 5), (2, 1, ["b", "c"], "p", "t2", 3), (3, 2, None, None, "", 9)], "pos int, doc int, grund array<string>, pfad string, title string, at int")
     got = {r["doc"]: (r["grund"], r["pfad"], r["title"], r["at"], r["rows"]) for r in queues.compact(q, "doc", "pos", "grund", ["pfad", "title"], "at").collect()}
