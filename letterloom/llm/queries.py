@@ -42,6 +42,20 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_documents(spark, d), "doc_id", "text")
 
 
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of at least 400 characters of each document that stand in another one, and where."""
+    return spans.spans_elsewhere(_documents(spark, d), "doc_id", "text").select(F.col("doc").alias("doc_id"), "von", "bis", "dort", "dort_von")
+
+
+def p10_share(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each document in such spans, whichever of the documents is the earlier one, and their share."""
+    docs = _documents(spark, d)
+    there = spans.covered(spans.spans_elsewhere(docs, "doc_id", "text"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    every = docs.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("zeichen"))
+    return every.join(there, F.col("doc_id") == F.col("doc"), "left").select("doc_id", n.alias("anderswo"), F.when(F.col("zeichen") > 0, F.round(n / F.col("zeichen"), 6)).otherwise(F.lit(0.0)).alias("anteil"))
+
+
 def p10_elsewhere(spark: SparkSession, d: str) -> DataFrame:
     """Characters of each document in lines that stand earlier elsewhere, and their share."""
     docs = _documents(spark, d)
@@ -135,6 +149,8 @@ QUERIES = {
     "p9_packing": p9_packing,
     "p9_fill": p9_fill,
     "p10_found": p10_found,
+    "p10_spans": p10_spans,
+    "p10_share": p10_share,
     "p10_elsewhere": p10_elsewhere,
 }
 

@@ -1,6 +1,6 @@
 """Long exact spans shared between texts.
 
-Two operators:
+Three operators:
 
 ``shared_spans`` finds every pair of texts with a common verbatim span of at least ``least`` characters. Hashing whole
 lines or paragraphs would miss spans that begin and end inside lines, so the units are cut by content: within any
@@ -11,7 +11,10 @@ of a run of shared units only, and is then measured on the texts. Exact copies s
 representative and are expanded at the end. Units that very many texts share are told apart by the digests of all
 exact windows of ``least`` characters around them before any pair is made.
 
-``unshared_text`` hashes lines: digests are grouped over all texts, the earliest occurrence stays, others are removed.
+``spans_elsewhere`` gives the spans of each text that stand in other texts, with offsets: every exact window of
+``least`` characters that holds a shared unit is grouped by its digest, at each of its places.
+
+``removed_lines`` hashes lines: digests are grouped over all texts, the earliest occurrence stays, others are removed.
 
 Defined results: null texts and texts shorter than ``least`` share nothing; case and white space count; a text that
 repeats within itself makes no pair; repeated rows of one id count once.
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.runtime import written
@@ -94,6 +97,61 @@ def units(text: str, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, hasher.digest(begin, end)
 
 
+def spans_elsewhere(df: DataFrame, doc: str, text: str, least: int = 400) -> DataFrame:
+    """(doc, von, bis, dort, dort_von): the longest spans of at least ``least`` characters of each text that stand in
+    another text ``dort`` at ``dort_von``, offsets in code points. Each window of a text is given where its least (text,
+    place) elsewhere is, so the spans cover all that stands elsewhere and may overlap.
+
+    Windows are taken around shared units only, a few rows a character of what is shared; texts move once.
+    """
+    reach = least - 2 * (WINDOW - 1) - GRAM
+    if reach < 1:
+        raise ValueError("spans shorter than the windows need a smaller WINDOW")
+    texts = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where(F.char_length("text") >= least).dropDuplicates(["doc"])
+
+    def every_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for one, t in zip(batch["doc"].tolist(), batch["text"].tolist(), strict=True):
+                begin, end, h = units(t, reach)
+                parts.append((np.full(len(h), one, dtype=np.int64), h.view(np.int64), begin.astype(np.int32), (end - begin).astype(np.int32)))
+            if parts:
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("doc", "unit", "pos", "size"), zip(*parts, strict=True), strict=True)})
+
+    def every_window(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one, t, starts, sizes in zip(batch["doc"].tolist(), batch["text"].tolist(), batch["starts"].tolist(), batch["sizes"].tolist(), strict=True):
+                codes = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+                # A mark per start of a window: starts of neighbouring units overlap.
+                mark = np.zeros(len(codes) - least + 2, dtype=np.int32)
+                begin = np.clip(starts + sizes - least, 0, len(codes) - least + 1)
+                np.add.at(mark, begin, 1)
+                np.add.at(mark, np.maximum(begin, np.minimum(starts, len(codes) - least) + 1), -1)
+                at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+                yield pd.DataFrame({"doc": np.full(len(at), one, dtype=np.int64), "h": _Hasher(codes).digest(at, at + least).view(np.int64), "pos": at.astype(np.int32)})
+
+    found = written(texts.mapInPandas(every_unit, "doc long, unit long, pos int, size int"), "span-places")
+    shared = found.groupBy("unit").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("unit")
+    spots = found.join(shared, "unit").groupBy("doc").agg(F.collect_list(F.struct("pos", "size")).alias("s")).select("doc", F.col("s.pos").alias("starts"), F.col("s.size").alias("sizes"))
+    windows = written(texts.join(spots, "doc").select("doc", "text", "starts", "sizes").mapInPandas(every_window, "doc long, h long, pos int"), "span-windows")
+    # The first place of a window, and the first one in any other text.
+    first = windows.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("one"), F.max("doc").alias("hi")).where("one.doc <> hi").select("h", "one")
+    places = windows.join(first, "h").withColumn("own", F.col("doc") == F.col("one.doc"))
+    second = places.where("not own").groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("two"))
+    there = places.join(second, "h").select("doc", "pos", F.when(F.col("own"), F.col("two")).otherwise(F.col("one")).alias("x")).select("doc", "pos", F.col("x.doc").alias("dort"), (F.col("x.pos") - F.col("pos")).alias("shift"))
+    # Neighbouring windows with neighbouring places in one text are one span; a text has at most as many as characters.
+    by = Window.partitionBy("doc", "dort", "shift").orderBy("pos")
+    runs = there.withColumn("run", F.col("pos") - F.row_number().over(by)).groupBy("doc", "dort", "shift", "run").agg(F.min("pos").alias("von"), F.max("pos").alias("last"))
+    return runs.select("doc", "von", (F.col("last") + least).alias("bis"), "dort", (F.col("von") + F.col("shift")).alias("dort_von"))
+
+
+def covered(spans: DataFrame) -> DataFrame:
+    """(doc, n): characters of each text that lie in any of its spans (doc, von, bis)."""
+    before = F.max("bis").over(Window.partitionBy("doc").orderBy("von", "bis").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.col("bis") - F.greatest(F.col("von"), F.coalesce("before", F.lit(0))), F.lit(0))
+    return spans.select("doc", "von", "bis").distinct().withColumn("before", before).groupBy("doc").agg(F.sum(fresh).alias("n"))
+
+
 def _unit_rows(docs: DataFrame, reach: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -56,6 +56,27 @@ def test_empty_table_and_repeated_rows(spark):
     assert found(spark, [(1, t, ""), (1, t, ""), (2, "q" + t, "")]) == {(1, 2)}
 
 
+def test_spans_elsewhere_match_brute_force(spark):
+    rng = random.Random(8)
+    core, other, small = noise(rng, 450), noise(rng, 900), noise(rng, 399)
+    docs = [(1, noise(rng, 300) + core + noise(rng, 90)), (2, core + noise(rng, 200) + core + small), (3, noise(rng, 50) + other + core), (4, other[100:700] + small), (5, other[300:] + "漢"), (6, None), (7, ""), (8, small)]
+    docs += [(9, docs[3][1]), (10, noise(rng, 500) * 2), (11, core * 2)]
+    places = {}
+    for i, t in docs:
+        for p in range(len(t or "") - 399):
+            places.setdefault(t[p : p + 400], []).append((i, p))
+    want = {(i, p + k) for at in places.values() for i, p in at if {j for j, _ in at} - {i} for k in range(400)}
+    texts = dict(docs)
+    df = spark.createDataFrame(docs + docs[:1], "doc_id long, text string")
+    got = spans.spans_elsewhere(df, "doc_id", "text").cache()
+    for r in got.collect():
+        n = r["bis"] - r["von"]
+        assert n >= 400 and r["doc"] != r["dort"] and texts[r["doc"]][r["von"] : r["bis"]] == texts[r["dort"]][r["dort_von"] : r["dort_von"] + n]
+    assert {(r["doc"], k) for r in got.collect() for k in range(r["von"], r["bis"])} == want
+    assert {r["doc"]: r["n"] for r in spans.covered(got).collect()} == {i: sum(j == i for j, _ in want) for i in {j for j, _ in want}}
+    assert {1, 2, 3, 4, 5, 9, 11} == {i for i, _ in want}
+
+
 def test_lines_keep_offsets(spark):
     text = "Erste Zeile\n\n  ERSTE   zeile \nÄndern 漢字\nÄndern 漢字"
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "ändern 漢字")], "doc_id long, text string")
