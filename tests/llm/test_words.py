@@ -103,6 +103,17 @@ def test_linking_by_rounds_equals_linking_in_one_task(spark):
     assert variants.link(df.limit(0)).count() == 0
 
 
+def test_rounds_compare_all_pairs_of_a_component(spark):
+    # The outer two lie beyond the greatest distance of a link, but count for the mean.
+    names_ = ["Zabohugimar Musikschule", "Zabohukimal Musikschule", "Zaboxukinal Musikschule"]
+    cores = [names.parse(x).core for x in names_]
+    near, far = [names.distance(cores[i], cores[j], 9) for i, j in ((0, 1), (1, 2))], names.distance(cores[0], cores[2], 9)
+    assert max(near) <= variants.EDITS < far <= variants.EDITS + 1
+    df = spark.createDataFrame([("q", i, n, None) for i, n in enumerate(names_)], "quelle string, id long, name string, others array<string>")
+    one, rounds = ({tuple(r) for r in variants.linked_pairs(variants.link(df, together=k)).collect()} for k in (variants.TOGETHER, 2))
+    assert one == rounds == {("q", 0, 1), ("q", 0, 2), ("q", 1, 2)}
+
+
 def test_average_linkage_merges_by_the_mean():
     # 0-1 and 2-3 are close; the one strong link between the two pairs is not enough on average.
     assert variants.average_linkage(4, {(0, 1): 0.9, (2, 3): 0.9, (1, 2): 0.8}, 0.5) == [0, 0, 2, 2]
