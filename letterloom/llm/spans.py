@@ -8,7 +8,7 @@ lines or paragraphs would miss spans that begin and end inside lines, so the uni
 anchor reaches to the first anchor at least ``reach`` characters on. With ``reach + 2 (WINDOW - 1) + GRAM <= least`` a
 shared span holds at least one whole unit, so grouping unit digests loses no pair. Each pair comes from the first unit
 of a run of shared units only, and is then measured on the texts. Exact copies stand for each other through one
-representative and are expanded at the end. Units that very many texts share are told apart by the digests of all
+representative and are expanded at the end. Units that stand in very many places are told apart by the digests of all
 exact windows of ``least`` characters around them before any pair is made.
 
 ``spans_elsewhere`` gives the spans of each text that stand in other texts, with offsets: every exact window of
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from letterloom.runtime import written
 
 GRAM, WINDOW = 16, 112
-#: Units shared by more texts than this are split by exact windows first (same result, other way).
+#: Shared units with more places than this are split by exact windows first (same result, other way).
 MANY = 64
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -158,10 +158,8 @@ def _unit_rows(docs: DataFrame, reach: int) -> DataFrame:
             parts = []
             for doc, text in zip(batch["doc"].tolist(), batch["text"].tolist(), strict=True):
                 begin, end, h = units(text, reach)
-                # The first occurrence in a text is enough; equal neighbours (runs of one character) go with it.
-                h, first = np.unique(h, return_index=True)
-                order = np.argsort(first, kind="stable")
-                h, begin, end = h[order].view(np.int64), begin[first[order]], end[first[order]]
+                # Every occurrence in a text: the first one may stand where less around it is shared.
+                h = h.view(np.int64)
                 # The unit before counts only where it overlaps this one, and with its distance: else it lies in another span.
                 gap = np.diff(begin, prepend=0)
                 joined = np.concatenate([[False], gap[1:] <= (end - begin)[:-1]]) if len(h) else np.empty(0, dtype=bool)

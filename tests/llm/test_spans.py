@@ -50,6 +50,17 @@ def test_repeats_within_a_text(spark):
     assert found(spark, [(i, t, None) for i, t in docs]) == brute(docs, 400)
 
 
+def test_passage_alone_before_the_shared_span(spark):
+    rng = random.Random(4)
+    docs = []
+    for k in range(12):
+        span = noise(rng, 410)
+        part = span[15:395]
+        docs += [(2 * k, noise(rng, 60) + part + noise(rng, 60) + span + noise(rng, 60)), (2 * k + 1, noise(rng, 90) + span)]
+    docs += [(50, "-" * 900 + docs[0][1]), (51, "x" + "-" * 450), (52, "-=" * 300), (53, "=-" * 210)]
+    assert found(spark, [(i, t, None) for i, t in docs]) == brute(docs, 400)
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert found(spark, []) == set()
     t = "".join(map(str, range(400)))
