@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,15 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Where the setting is unset (tests, one machine) a temporary folder is made once per session and
-    kept in the session under ``letterloom.checkpoint.dir``.
+    Where the setting is unset a temporary folder is made once per session, kept in the session under
+    ``letterloom.checkpoint.dir`` and removed when the driver ends; only on one machine (master ``local``), since the
+    executors of a cluster don't share it: there the setting is needed.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     own = spark.conf.get("letterloom.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="letterloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.conf.set("letterloom.checkpoint.dir", own)
     return own
 
