@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,34 +41,69 @@ def by_name(typed: DataFrame, entries: DataFrame) -> DataFrame:
     return equal.unionByName(near)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors; 0 where either has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
+def _matrix(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows cut or filled with zeros to one width, lengths of the whole vectors); null values and vectors are zeros."""
+    out, norms = np.zeros((len(vectors), width)), np.zeros(len(vectors))
+    for i, v in enumerate(vectors):
+        if v is not None:
+            x = np.nan_to_num(np.asarray(v, dtype="float64"))
+            out[i, : len(x)] = x[:width]
+            norms[i] = np.sqrt(x @ x)
+    return out, norms
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores of one query; ties go to the lower id."""
+    if len(score) > k:
+        kept = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    else:
+        kept = np.arange(len(score))
+    return kept[np.lexsort((ids[kept], -score[kept]))][:k]
 
 
 def nearest(queries: DataFrame, targets: DataFrame, k: int, limit: int = 10_000) -> DataFrame:
-    """The k targets (id, vector) of highest cosine for each query (id, vector); ties go to the lower id.
+    """(query, target, score, rank): the k targets (id, vector) of highest cosine for each query (id, vector); a target of
+    the query's own id doesn't count, ties go to the lower id, a vector that is null or of length 0 scores 0.
 
     A stated list of queries against all targets: the queries go in blocks of at most ``limit``, each broadcast, so the
-    targets are read once a block and never shuffled. Each task keeps its own k best before the merge.
+    targets are read once a block and never shuffled. Scores are products of matrices over Arrow batches; each task keeps
+    its own k best of each query, and only these are shuffled.
     """
     blocks = max(1, -(-queries.count() // limit))
-    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("_q"))
     out = None
     for b in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) if blocks > 1 else q
-        one = _nearest(part, targets, k)
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        one = _nearest(part.select("id", "vector"), targets.select("id", "vector"), k)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def _nearest(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    pairs = targets.select(F.col("id").alias("target"), F.col("vector").alias("_t")).join(F.broadcast(queries), F.col("query") != F.col("target"))
-    scored = pairs.select("query", "target", F.round(cosine(F.col("_q"), F.col("_t")), 6).alias("score"))
-    part = Window.partitionBy("query", F.pmod(F.xxhash64("target"), F.lit(64))).orderBy(F.desc("score"), "target")
-    local = scored.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k).drop("_r")
+    rows = queries.where("id is not null").collect()
+    width = max((len(r["vector"]) for r in rows if r["vector"] is not None), default=0)
+    ids = np.array([r["id"] for r in rows], dtype="int64")
+    shared = queries.sparkSession.sparkContext.broadcast((ids, *_matrix([r["vector"] for r in rows], width)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, q, nq = shared.value
+        found = [(np.empty(0, dtype="int64"), np.empty(0)) for _ in own]
+        for batch in batches:
+            batch = batch[batch["id"].notna()]
+            there = batch["id"].to_numpy(dtype="int64")
+            t, nt = _matrix(batch["vector"].tolist(), width)
+            norms = nq[:, None] * nt[None, :]
+            score = np.where(norms > 0, np.round(q @ t.T / np.where(norms > 0, norms, 1), 6), 0.0) + 0.0
+            score[own[:, None] == there[None, :]] = -np.inf
+            for i in range(len(own)):
+                kept = np.concatenate([found[i][0], there]), np.concatenate([found[i][1], score[i]])
+                top = _best(kept[1], kept[0], k)
+                found[i] = kept[0][top], kept[1][top]
+        n = [len(x) for x, _ in found]
+        if sum(n):
+            out = pd.DataFrame({"query": np.repeat(own, n), "target": np.concatenate([x for x, _ in found]), "score": np.concatenate([s for _, s in found])})
+            yield out[out["score"] > -np.inf]
+
+    local = targets.mapInPandas(run, "query long, target long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "target")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
