@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +22,22 @@ def is_void(c: Column) -> Column:
     return F.coalesce(c.rlike(_VOID), F.lit(True))
 
 
+def _leaves(c: Column, kind: T.StructType) -> Iterator[tuple[Column, T.DataType]]:
+    for f in kind.fields:
+        if isinstance(f.dataType, T.StructType):
+            yield from _leaves(c[f.name], f.dataType)
+        else:
+            yield c[f.name], f.dataType
+
+
 def has_value(c: Column, kind: T.DataType) -> Column:
     """True where the object holds at least one value, at any depth, that is not void."""
     if isinstance(kind, T.StructType):
-        parts = [has_value(c[f.name], f.dataType) for f in kind.fields]
+        # One test over the texts of the object and its inner structs; containers and other leaves on their own.
+        leaves = list(_leaves(c, kind))
+        texts = [x for x, k in leaves if isinstance(k, T.StringType)]
+        parts = [F.exists(F.array(*texts), lambda x: ~is_void(x))] if texts else []
+        parts += [has_value(x, k) for x, k in leaves if not isinstance(k, T.StringType)]
         found = parts[0] if parts else F.lit(False)
         for p in parts[1:]:
             found = found | p

@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from letterloom.functions.void import has_value, is_void
 
-#: An object with more distinct keys than this, over all records, is a map and not a struct.
+#: An object with more distinct keys than this, over all records, is kept as a map and not as a struct, so that the
+#: merged schema stays small. It changes which table holds an object, never its path: choose rows by ``pfad``.
 MAP_KEYS = 40
 
 
@@ -45,6 +46,11 @@ def _join(pfad: Column, name: str) -> Column:
     return F.when(pfad == "", F.lit(name)).otherwise(F.concat(pfad, F.lit("." + name)))
 
 
+def _step(name: str) -> str | None:
+    """A key as a step of a VARIANT path; None for one with both kinds of quotes, which no path can hold."""
+    return f"['{name}']" if "'" not in name else f'["{name}"]' if '"' not in name else None
+
+
 def flatten(df: DataFrame, root: str, columns: list[str]) -> dict[str, Child]:
     """Tables of the nested ``columns`` of a typed DataFrame, by schema path. All steps are narrow: no shuffle.
 
@@ -90,7 +96,7 @@ def struct_rows(child: Child, places: list[tuple[str, ...]]) -> DataFrame:
     def at(place: tuple[str, ...]) -> Column:
         o = F.col("obj")
         if not typed:
-            return F.try_variant_get(o, "$" + "".join(f"['{n}']" for n in place), "variant")
+            return F.try_variant_get(o, "$" + "".join(map(_step, place)), "variant")
         for n in place:
             o = o[n]
         return o
@@ -213,8 +219,12 @@ def flatten_json(df: DataFrame, root: str, text: str, shape: dict | None = None,
         # frame: root, parent_sk, pfad, obj
         for name, below in shape.get("o", {}).items():
             if below.keys() & {"o", "a", "m"}:
-                value = F.try_variant_get("obj", f"$['{name}']", "variant")
-                inner = frame.select("root", "parent_sk", _join(F.col("pfad"), name).alias("pfad"), value.alias("obj")).where(F.col("obj").isNotNull())
+                if step := _step(name):
+                    inner = frame.withColumn("_value", F.try_variant_get("obj", "$" + step, "variant"))
+                else:
+                    objects = frame.where(F.schema_of_variant("obj").startswith("OBJECT"))
+                    inner = objects.lateralJoin(spark.tvf.variant_explode(F.col("obj")).toDF("_pos", "_key", "_value")).where(F.col("_key") == name)
+                inner = inner.select("root", "parent_sk", _join(F.col("pfad"), name).alias("pfad"), F.col("_value").alias("obj")).where(F.col("obj").isNotNull())
                 visit(inner, below, f"{path}.{name}" if path else name, parent)
         element = merge_shapes(shape.get("a", {}), shape.get("m", {}))
         if element.keys() & {"o", "a", "m"}:
