@@ -38,20 +38,21 @@ def history(df: DataFrame, keys: list[str], effective: str, attributes: list[str
     return changes.select(*keys, F.col(effective).alias(start), F.lead(effective).over(by).alias(end), *attributes, F.col("_hash").alias("attr_hash"))
 
 
-def merge(current: DataFrame, updates: DataFrame, keys: list[str], effective: str, attributes: list[str], start: str = "von", end: str = "bis", dated: DataFrame | None = None) -> DataFrame:
+def merge(current: DataFrame, dated: DataFrame, updates: DataFrame, keys: list[str], effective: str, attributes: list[str], rank: list[str], start: str = "von", end: str = "bis") -> DataFrame:
     """Type-two merge of updates into a kept history: equal hashes leave it as it is, changed rows are closed with the
     update's date, new versions are opened. Updates that arrive late, before the open version began, are put in place.
 
-    ``dated``: the row of each key and date that ``current`` was built from. Dates with the attributes of the date before
-    are no starts in ``current``, but each becomes one where an update comes between the two; without ``dated`` these
-    periods are lost, and only updates at or after a key's last date give the history of all rows.
+    ``dated``: the row of each key and date that ``current`` was built from, with its ``rank`` columns (as
+    ``latest_per_date`` gives it with them among the attributes). Dates with the attributes of the date before are no
+    starts in ``current``, but each becomes one where an update comes between the two. Of an update and a kept row of one
+    date the higher rank counts, so an update that is older than what is kept changes nothing; of equals the update.
 
     Only keys that occur in the updates are rebuilt; the others pass through unchanged (semi and anti join on the keys).
     """
     touched = updates.where(F.col(effective).isNotNull()).select(*keys).distinct()
     kept = current.join(touched, keys, "left_anti").select(*keys, start, end, *attributes, "attr_hash")
-    known = current.withColumn(effective, F.col(start)) if dated is None else dated
-    old = known.join(touched, keys, "left_semi").select(*keys, effective, *attributes, F.lit(0).alias("_new"))
-    new = updates.select(*keys, effective, *attributes, F.lit(1).alias("_new"))
-    dated = latest_per_date(old.unionByName(new), keys, effective, attributes, [F.col("_new")])
-    return kept.unionByName(history(dated, keys, effective, attributes, start, end))
+    columns = list(dict.fromkeys([*keys, effective, *attributes, *rank]))
+    old = dated.join(touched, keys, "left_semi").select(*columns, F.lit(0).alias("_new"))
+    new = updates.select(*columns, F.lit(1).alias("_new"))
+    rebuilt = latest_per_date(old.unionByName(new), keys, effective, attributes, [*map(F.col, rank), F.col("_new")])
+    return kept.unionByName(history(rebuilt, keys, effective, attributes, start, end))

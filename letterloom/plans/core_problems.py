@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from letterloom.runtime import written
 SECTIONS, EYES = ("messung", "fern", "naehe"), ("rechts", "links")
 EYE_FIELDS = ("sph", "cyl", "achse", "prisma", "basis", "add")
 HOME = "Europe/Zurich"
+#: Paths of versions in raw lines, whatever holds them.
+VERSION = r"(^|\.)versionen(\[[0-9]+\]|\.[^.\[\]]+)$"
 
 
 def _filled(rows: DataFrame, quelle: str) -> DataFrame:
@@ -29,7 +33,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     raw = N.flatten_json(spark.read.parquet(f"{d}/brillenpass_roh.parquet").select("record_id", "zeile"), "record_id", "zeile", free_keys=("versionen",))
     parts = [_filled(N.struct_rows(stores["versionen[]"], eyes), "brillenpaesse")]
     parts += [_filled(senders[t].df, "correspondents") for t in ("extraktion_muster{}", "beziehungen[]")]
-    parts += [_filled(N.struct_rows(t, eyes), "brillenpass_roh") for path, t in raw.items() if path.endswith("versionen*")]
+    # By path in the record and not by table: which table holds a version depends on the merged schema.
+    for t in raw.values():
+        versions = replace(t, df=t.df.where(F.col("pfad").rlike(VERSION)))
+        parts.append(_filled(N.struct_rows(versions, eyes), "brillenpass_roh"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -40,12 +47,29 @@ def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     """Rows, filled rows and rows without a parent of each flat table of stores and senders."""
     parts = []
     for name, key, columns in (("brillenpaesse", "satz_id", ["versionen"]), ("correspondents", "corr_id", ["extraktion_muster", "beziehungen", "identifikatoren"])):
-        for path, t in N.flatten(spark.read.parquet(f"{d}/{name}.parquet"), key, columns).items():
-            parts.append(t.df.select(F.lit(name).alias("quelle"), F.lit(path).alias("tabelle"), "sk", "filled"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("quelle", "tabelle").agg(F.count("*").alias("zeilen"), F.count_if("filled").alias("gefuellt"))
+        df = spark.read.parquet(f"{d}/{name}.parquet")
+        parts.append(_counted(N.flatten(df, key, columns), df.select(F.col(key).alias("root")), name))
+    return parts[0].unionByName(parts[1])
+
+
+def p1_raw_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the tables that the merged schema of the raw lines gives."""
+    df = spark.read.parquet(f"{d}/brillenpass_roh.parquet").select("record_id", "zeile")
+    return _counted(N.flatten_json(df, "record_id", "zeile", free_keys=("versionen",)), df.select(F.col("record_id").alias("root")), "brillenpass_roh")
+
+
+def _counted(tables: dict[str, N.Child], roots: DataFrame, quelle: str) -> DataFrame:
+    """(quelle, tabelle, zeilen, gefuellt, ohne_eltern) of each table: a parent is a row of the parent's table or a record."""
+    name = lambda t: F.lit(t).alias("tabelle")
+    rows = keys = None
+    for path, t in tables.items():
+        own = t.df.select(name(path), name(t.parent).alias("eltern"), "sk", "parent_sk", "filled")
+        rows = own if rows is None else rows.unionByName(own)
+        up = tables[t.parent].df.select(name(t.parent).alias("eltern"), F.col("sk").alias("parent_sk")) if t.parent else roots.select(F.lit("").alias("eltern"), F.xxhash64("root").alias("parent_sk"))
+        keys = up if keys is None else keys.unionByName(up)
+    known = keys.distinct().withColumn("da", F.lit(True))
+    joined = rows.join(known, ["eltern", "parent_sk"], "left")
+    return joined.groupBy(F.lit(quelle).alias("quelle"), "tabelle").agg(F.count("*").alias("zeilen"), F.count_if("filled").alias("gefuellt"), F.count_if(F.col("da").isNull()).alias("ohne_eltern"))
 
 
 def _number(c: Column) -> Column:
@@ -56,20 +80,21 @@ def _number(c: Column) -> Column:
 
 
 def prescriptions(spark: SparkSession, d: str) -> DataFrame:
-    """person_id, tag, one canonical column per eye value, with stand, satz_id and ordinal of the version."""
+    """person_id, tag, the canonical eye values (in the order of VALUES), with stand, satz_id and ordinal of the version."""
     rows = spark.read.parquet(f"{d}/brillenpaesse.parquet").select(F.lower(trimmed(F.col("person_id"))).alias("person_id"), "stand", "satz_id", F.posexplode("versionen").alias("ordinal", "v"))
-    values = [_number(F.col(f"v.{s}.{e}.{f}")).alias(f"{s}_{e}_{f}") for s in ("fern", "naehe") for e in EYES for f in EYE_FIELDS]
-    rows = rows.where(F.col("person_id").isNotNull()).select("person_id", "stand", "satz_id", "ordinal", F.col("v.gueltig_ab").alias("text"), *values)
+    # One array and one lambda: written out for each value the code would be too large to compile.
+    values = F.transform(F.array(*(F.col(f"v.{s}.{e}.{f}") for s, e, f in VALUES)), _number)
+    rows = rows.where(F.col("person_id").isNotNull()).select("person_id", "stand", "satz_id", "ordinal", F.col("v.gueltig_ab").alias("text"), values.alias("werte"))
     return rows.withColumn("tag", normalised(F.col("text"), F.lit(HOME))["day"]).where(F.col("tag").isNotNull()).drop("text")
 
 
-VALUE_COLUMNS = [f"{s}_{e}_{f}" for s in ("fern", "naehe") for e in EYES for f in EYE_FIELDS]
+VALUES = [(s, e, f) for s in ("fern", "naehe") for e in EYES for f in EYE_FIELDS]
+RANK = ["stand", "ordinal", "satz_id"]
 
 
 def person_history(spark: SparkSession, d: str) -> DataFrame:
-    rank = [F.col("stand"), F.col("ordinal"), F.col("satz_id")]
-    dated = H.latest_per_date(prescriptions(spark, d), ["person_id"], "tag", VALUE_COLUMNS, rank)
-    return H.history(dated, ["person_id"], "tag", VALUE_COLUMNS)
+    dated = H.latest_per_date(prescriptions(spark, d), ["person_id"], "tag", ["werte"], [*map(F.col, RANK)])
+    return H.history(dated, ["person_id"], "tag", ["werte"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,13 +105,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_merge(spark: SparkSession, d: str) -> DataFrame:
     """The same history, built by merging the newer half of the snapshots into that of the older half."""
     rows = prescriptions(spark, d)
-    rank = [F.col("stand"), F.col("ordinal"), F.col("satz_id")]
+    rank = [*map(F.col, RANK)]
     middle = F.lit("2020-01-01").cast("timestamp_ntz")
     keys = ["person_id"]
-    dated = written(H.latest_per_date(rows.where(F.col("stand") < middle), keys, "tag", VALUE_COLUMNS, rank), "dated-prescriptions")
-    old = H.history(dated, keys, "tag", VALUE_COLUMNS)
-    new = H.latest_per_date(rows.where(~(F.col("stand") < middle) | F.col("stand").isNull()), keys, "tag", VALUE_COLUMNS, rank)
-    return H.merge(old, new, keys, "tag", VALUE_COLUMNS, dated=dated).select("person_id", "von", F.coalesce("bis", F.lit("")).alias("bis"))
+    dated = written(H.latest_per_date(rows.where(F.col("stand") < middle), keys, "tag", ["werte", *RANK], rank), "dated-prescriptions")
+    old = H.history(dated, keys, "tag", ["werte"])
+    new = H.latest_per_date(rows.where(~(F.col("stand") < middle) | F.col("stand").isNull()), keys, "tag", ["werte", *RANK], rank)
+    return H.merge(old, dated, new, keys, "tag", ["werte"], RANK).select("person_id", "von", F.coalesce("bis", F.lit("")).alias("bis"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +127,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("quelle", "satz_id", "feld", F.when(F.col("feld") == "ts", F.col("n.utc")).otherwise(F.col("n.day")).alias("normal")).where(F.col("normal").isNotNull()).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p3_found": p3_found, "p3_merge": p3_merge, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_raw_tables": p1_raw_tables, "p3_found": p3_found, "p3_merge": p3_merge, "p6_found": p6_found}
 
 _VOID = "('', 'null', 'none', 'n/a', '-', '–', '—')"
 _EYE = " OR ".join(f"lower(trim(coalesce(e.{f}, ''))) NOT IN {_VOID}" for f in EYE_FIELDS)
@@ -118,7 +143,11 @@ def _filled_sql(column: str) -> str:
 
 _MUSTER = " OR ".join([_filled_sql("m.value.regex"), _any("m.value.label_hints"), _filled_sql("m.value.beispiel"), "m.value.custom_field_id IS NOT NULL"])
 _BEZIEHUNG = " OR ".join([*(_filled_sql(f"b.{f}") for f in ("person", "bezeichnung", "referenznummer", "ordner")), *(_any(f"b.{f}") for f in ("erlaubte_doctypen", "stichworte", "fix_tags"))])
+_VERSION = " OR ".join([*(_filled_sql(f"v.{f}") for f in ("id", "gueltig_ab", "korrespondent", "auftrag", "pd", "bemerkung", "glas.beschreibung", "glas.index", "extraktion.quelle", "extraktion.confidence")), "v.document_id IS NOT NULL", "len(list_filter(v.document_ids, lambda x: x IS NOT NULL)) > 0", _any("v.glas.beschichtungen"), *(_filled_sql(f"v.{s}.{e}.{f}") for s in SECTIONS for e in EYES for f in EYE_FIELDS)])
 SQL = {
+    "p1_tables": f"""SELECT 'brillenpaesse' quelle, 'versionen[]' tabelle, count(*) zeilen, count(*) FILTER ({_VERSION}) gefuellt, 0::BIGINT ohne_eltern FROM (SELECT unnest(versionen) v FROM brillenpaesse)
+UNION ALL SELECT 'correspondents', 'extraktion_muster{{}}', count(*), count(*) FILTER ({_MUSTER}), 0 FROM (SELECT unnest(map_entries(extraktion_muster)) m FROM correspondents)
+UNION ALL SELECT 'correspondents', 'beziehungen[]', count(*), count(*) FILTER ({_BEZIEHUNG}), 0 FROM (SELECT unnest(beziehungen) b FROM correspondents)""",
     "p1_found": f"""WITH v AS (SELECT satz_id, unnest(versionen) v, generate_subscripts(versionen, 1) - 1 i FROM brillenpaesse),
 eyes AS ({" UNION ALL ".join(f"SELECT satz_id, 'versionen[' || i || '].{a}.{b}' pfad, v.{a}.{b} e FROM v" for a in SECTIONS for b in EYES)}),
 raw AS (SELECT DISTINCT record_id, zeile FROM brillenpass_roh WHERE json_valid(zeile)),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from letterloom.functions.void import is_void
 from letterloom.operators import audit, history, matching, nested, queues
 from letterloom.operators import timestamps as ts
+from letterloom.plans import core_problems
 from letterloom.sources import files
 from letterloom.streaming import review
 
@@ -100,6 +101,20 @@ def test_json_records_of_varying_shape(spark):
     assert nested.flatten_json(df.limit(0), "id", "z") == {}
 
 
+def test_raw_lines_of_any_keys_give_all_eyes(spark, tmp_path):
+    """Above MAP_KEYS distinct keys the tables differ, the rows don't; keys may hold either kind of quotes."""
+    eye = {"fern": {"rechts": {"sph": 1}, "links": {"sph": "-"}}}
+    some = [{"versionen": [eye], f"k{i}": {"a": [1]}} for i in range(10)]
+    many = [{"versionen": {"v": eye}, f"k{i}": {"a": [1]}, "l'or": {"versionen": [eye]}, "a\"b'c": {"eintraege": [{"versionen": [eye]}]}} for i in range(45)]
+    for lines in (some, many):
+        spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)], "record_id long, zeile string").write.mode("overwrite").parquet(str(tmp_path / "brillenpass_roh.parquet"))
+        for t in ("brillenpaesse", "correspondents"):
+            spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.mode("overwrite").parquet(str(tmp_path / f"{t}.parquet"))
+        got = {(r["satz_id"], r["pfad"]) for r in core_problems.p1_found(spark, str(tmp_path)).collect()}
+        paths = ("versionen[0]",) if lines is some else ("versionen.v", "l'or.versionen[0]", "a\"b'c.eintraege[0].versionen[0]")
+        assert got == {(i, p + ".fern.rechts") for i in range(len(lines)) for p in paths}
+
+
 def test_shapes_merge_in_any_order():
     a, b = nested._shape({"x": [1, {"y": None}], "z": {"q": 1}}, 40, frozenset()), nested._shape({"x": {"k": {"y": 2}}, "z": 5}, 40, frozenset())
     assert nested.merge_shapes(a, b) == nested.merge_shapes(b, a)
@@ -133,20 +148,31 @@ def test_history_and_merge_match_brute_force(spark):
     dated = history.latest_per_date(df.where("k is not null"), ["k"], "day", ["value"], [F.col("rank")])
     got = sorted((r["k"], r["von"], r["bis"], r["value"]) for r in history.history(dated, ["k"], "day", ["value"]).collect())
     assert got == sorted(brute_history(rows), key=str) or sorted(got, key=str) == sorted(brute_history(rows), key=str)
-    late = [("p1", "2019-12-01", "b"), ("p9", "2020-05-01", None), ("p2", "2020-01-10", "z")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merge_equals_the_rebuild_from_all_rows(spark, seed):
+    """Late corrections of folded dates, updates older and newer than what is kept, new and untouched keys."""
+    rng = np.random.default_rng(seed)
+    draw = lambda n, keys: [(f"p{rng.integers(keys)}", f"2020-01-{rng.integers(1, 12):02d}", [None, "a", "b"][rng.integers(3)], int(rng.integers(1000))) for _ in range(n)]
+    # A rank decides between rows of one date; rows of equal rank differ in nothing.
+    rows = list({(k, d, r): (k, d, v, r) for k, d, v, r in draw(120, 6) + draw(40, 4)}.values())
+    before, after = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+    schema = "k string, day string, value string, rank int"
+    dated = history.latest_per_date(spark.createDataFrame(before, schema), ["k"], "day", ["value", "rank"], [F.col("rank")])
     old = history.history(dated, ["k"], "day", ["value"])
-    new = history.merge(old, spark.createDataFrame(late, "k string, day string, value string"), ["k"], "day", ["value"])
-    versions = [(k, a, v, 0) for k, a, _, v in got] + [(k, d, v, 1) for k, d, v in late]
-    assert sorted(((r["k"], r["von"], r["bis"], r["value"]) for r in new.collect()), key=str) == sorted(brute_history(versions), key=str)
+    new = history.latest_per_date(spark.createDataFrame(after, schema), ["k"], "day", ["value", "rank"], [F.col("rank")])
+    got = history.merge(old, dated, new, ["k"], "day", ["value"], ["rank"])
+    assert sorted((tuple(r)[:4] for r in got.select("k", "von", "bis", "value").collect()), key=str) == sorted(brute_history(rows), key=str)
 
 
 def test_late_version_between_two_equal_dates(spark):
     rows = [("p", "2020-01-01", "a"), ("p", "2020-01-03", "a"), ("q", "2020-01-01", "a"), ("q", "2020-01-05", "a"), ("q", "2020-01-09", "b"), ("r", "2020-01-01", "a"), ("r", "2020-01-02", "a")]
     late = [("p", "2020-01-02", "b"), ("q", "2020-01-05", "c"), ("q", "2020-01-07", "b")]
-    schema = "k string, day string, value string"
-    dated, new = spark.createDataFrame(rows, schema), spark.createDataFrame(late, schema)
+    schema = "k string, day string, value string, rank int"
+    dated, new = spark.createDataFrame([(*r, 0) for r in rows], schema), spark.createDataFrame([(*r, 1) for r in late], schema)
     old = history.history(dated, ["k"], "day", ["value"])
-    got = history.merge(old, new, ["k"], "day", ["value"], dated=dated)
+    got = history.merge(old, dated, new, ["k"], "day", ["value"], ["rank"])
     want = brute_history([(*r, 0) for r in rows] + [(*r, 1) for r in late])
     assert sorted((tuple(r)[:4] for r in got.select("k", "von", "bis", "value").collect()), key=str) == sorted(want, key=str)
     assert ("p", "2020-01-03", None, "a") in want and ("r", "2020-01-01", None, "a") in want
@@ -175,6 +201,11 @@ def test_nearest_in_blocks_and_days_in_buckets(spark):
     v = spark.createDataFrame(rows, "id int, vector array<double>")
     one = {tuple(r) for r in matching.nearest(v.where("id % 20 = 0"), v.where("vector is not null"), 3).collect()}
     assert one == {tuple(r) for r in matching.nearest(v.where("id % 20 = 0"), v.where("vector is not null"), 3, limit=1).collect()} and len(one) == 9
+    score = lambda a, b: 0.0 if b is None or not np.linalg.norm(a) * np.linalg.norm(b) else round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+    want = {q: sorted((-score(x, y), t) for t, y in rows if t != q)[:3] for q, x in rows if q % 20 == 0}
+    every = matching.nearest(v.where("id % 20 = 0").repartition(3), v.repartition(5), 3).collect()
+    assert {(r["query"], r["rank"]): (-r["score"], r["target"]) for r in every} == {(q, i + 1): p for q, top in want.items() for i, p in enumerate(top)}
+    assert matching.nearest(v.limit(0), v, 3).count() == matching.nearest(v, v.limit(0), 3).count() == 0
     days = [(k, i, f"2020-{1 + i % 12:02d}-{1 + (i * 7) % 28:02d}") for k in "ab" for i in range(40)]
     df = spark.createDataFrame(days, "k string, id int, d string").withColumn("d", F.to_date("d"))
     want = {(k, a, b) for k, a, x in days for q, b, y in days if k == q and a < b and abs((pd.Timestamp(x) - pd.Timestamp(y)).days) <= 21}
