@@ -35,18 +35,18 @@ GRAM, WINDOW = 16, 112
 #: Shared units with more places than this are split by exact windows first (same result, other way).
 MANY = 64
 _BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_SECOND = 0xA0761D6478BD642F
 _U = np.uint64
 
 
 class _Hasher:
     """Digests of slices of one long array of code points by prefix sums."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, base: int = _BASE):
         n = len(codes)
         with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.concatenate([[_U(1)], np.full(n, _BASE, dtype=_U)]), dtype=_U)
-            self.down = np.cumprod(np.concatenate([[_U(1)], np.full(n, _INVERSE, dtype=_U)]), dtype=_U)
+            self.up = np.cumprod(np.concatenate([[_U(1)], np.full(n, base, dtype=_U)]), dtype=_U)
+            self.down = np.cumprod(np.concatenate([[_U(1)], np.full(n, pow(base, -1, 1 << 64), dtype=_U)]), dtype=_U)
             self.sums = np.concatenate([np.zeros(1, dtype=_U), np.cumsum((codes.astype(_U) + _U(1)) * self.up[:n], dtype=_U)])
 
     def digest(self, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -171,11 +171,11 @@ def _unit_rows(docs: DataFrame, reach: int) -> DataFrame:
     return docs.mapInPandas(run, "doc long, unit long, before long, pos int, size int")
 
 
-def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of rows of one unit that don't also share the unit before."""
-    a = left.select("unit", F.col("doc").alias("a"), F.col("before").alias("xa"), F.col("pos").alias("pa"))
-    b = right.select("unit", F.col("doc").alias("b"), F.col("before").alias("xb"), F.col("pos").alias("pb"))
-    return a.join(b, "unit").where("a < b and (xa <> xb or xa = 0)").select("a", "b", "pa", "pb")
+def _meeting(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+    """Pairs of rows of one unit that don't also share the unit before. A hot unit's rows are divided by the skew join."""
+    a = left.select("unit", *more, F.col("doc").alias("a"), F.col("before").alias("xa"), F.col("pos").alias("pa"))
+    b = right.select("unit", *more, F.col("doc").alias("b"), F.col("before").alias("xb"), F.col("pos").alias("pb"))
+    return a.join(b, ["unit", *more]).where("a < b and (xa <> xb or xa = 0)").select("a", "b", "pa", "pb")
 
 
 def _common(a: str, b: str, pa: int, pb: int) -> int:
@@ -228,13 +228,15 @@ def _windows(rows: DataFrame, docs: DataFrame, least: int) -> DataFrame:
                 h, first = np.unique(_Hasher(codes).digest(at, at + least).view(np.int64), return_index=True)
                 order = np.argsort(first, kind="stable")
                 h, pos = h[order], at[first[order]]
+                # A second digest, on another base: what is equal in both is taken for equal.
+                check = _Hasher(codes, _SECOND).digest(pos, pos + least).view(np.int64)
                 joined = np.concatenate([[False], np.diff(pos) == 1])
-                parts.append((np.full(len(h), doc, dtype=np.int64), h, np.where(joined, np.concatenate([[0], h[:-1]]), 0), pos))
+                parts.append((np.full(len(h), doc, dtype=np.int64), h, check, np.where(joined, np.concatenate([[0], h[:-1]]), 0), pos))
             if parts:
-                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("doc", "unit", "before", "pos"), zip(*parts, strict=True), strict=True)}).astype({"pos": "int32"})
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("doc", "unit", "check", "before", "pos"), zip(*parts, strict=True), strict=True)}).astype({"pos": "int32"})
 
     spots = rows.groupBy("doc").agg(F.collect_list("pos").alias("starts"), F.collect_list("size").alias("sizes"))
-    return docs.join(spots, "doc").select("doc", "text", "starts", "sizes").mapInPandas(run, "doc long, unit long, before long, pos int")
+    return docs.join(spots, "doc").select("doc", "text", "starts", "sizes").mapInPandas(run, "doc long, unit long, check long, before long, pos int")
 
 
 def shared_spans(df: DataFrame, doc: str, text: str, least: int = 400) -> DataFrame:
@@ -243,9 +245,9 @@ def shared_spans(df: DataFrame, doc: str, text: str, least: int = 400) -> DataFr
     if reach < 1:
         raise ValueError("spans shorter than the windows need a smaller WINDOW")
     texts = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where(F.char_length("text") >= least)
-    same = texts.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.reverse("text")).alias("h2"))
-    classes = same.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
-    members = written(same.join(classes.where("n > 1"), ["h1", "h2"]).select("rep", "doc").distinct(), "span-classes")
+    same = texts.select("doc", F.sha2("text", 256).alias("h"))
+    classes = same.groupBy("h").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
+    members = written(same.join(classes.where("n > 1"), "h").select("rep", "doc").distinct(), "span-classes")
     # Texts that another row stands for are few or many; either way they drop out before units are made.
     reps = texts.join(members.where("doc <> rep").select("doc").distinct(), "doc", "left_anti").dropDuplicates(["doc"])
     rows = written(_unit_rows(texts.join(members.where("doc <> rep").select("doc").distinct(), "doc", "left_anti"), reach), "span-units")
@@ -255,9 +257,9 @@ def shared_spans(df: DataFrame, doc: str, text: str, least: int = 400) -> DataFr
     found = _measured(_meeting(few, few).distinct(), reps, least)
     if shared.where(F.col("n") > MANY).limit(1).count():
         exact = _windows(many, reps, least)
-        again = exact.groupBy("unit").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("unit")
-        exact = exact.join(again, "unit")
-        found = found.unionByName(_meeting(exact, exact).select("a", "b"))
+        again = exact.groupBy("unit", "check").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("unit", "check")
+        exact = exact.join(again, ["unit", "check"])
+        found = found.unionByName(_meeting(exact, exact, "check").select("a", "b"))
     found = found.distinct()
     # Expand representatives to their copies.
     copies = members.select(F.col("rep"), F.col("doc").alias("copy"))
@@ -282,7 +284,8 @@ def lines(df: DataFrame, doc: str, text: str) -> DataFrame:
 def removed_lines(df: DataFrame, doc: str, text: str, least: int = 0) -> DataFrame:
     """Lines (of at least ``least`` characters) that stand earlier, in a lower id or further up; with their original offsets.
 
-    Digests are pre-aggregated before the shuffle; a line that a third of all texts holds is one row per task.
+    Digests are counted before they are shuffled. Lines then meet their first place on the digest; one that a third of all
+    texts hold is divided by the skew join of adaptive execution.
     """
     all_ = lines(df, doc, text).where(F.col("bis") - F.col("von") >= least)
     first = all_.groupBy("digest").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")

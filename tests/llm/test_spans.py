@@ -61,6 +61,22 @@ def test_passage_alone_before_the_shared_span(spark):
     assert found(spark, [(i, t, None) for i, t in docs]) == brute(docs, 400)
 
 
+@pytest.mark.parametrize("many", [64, 3])
+def test_parts_of_a_passage_before_the_passage(spark, monkeypatch, many):
+    """A unit of the shared span stands in the same text before, where less around it is shared; in either text."""
+    monkeypatch.setattr(spans, "MANY", many)
+    rng = random.Random(11)
+    texts = []
+    for n, parts in ((400, [(0, 399)]), (410, [(20, 410), (0, 390)]), (420, [(0, 395)]), (405, [(3, 402), (0, 399), (6, 405)])):
+        for k in range(10):
+            p = noise(rng, n)
+            lead = "".join(noise(rng, 50) + p[a:b] for a, b in parts) + noise(rng, 60)
+            one, other = noise(rng, 120) + p + noise(rng, 80), lead + p + noise(rng, 90)
+            texts += [other, noise(rng, 30) + other[20:], one] if k % 3 == 0 else [one, other] if k % 2 else [other, one]
+    docs = list(enumerate(texts))
+    assert found(spark, [(i, t, None) for i, t in docs]) == brute(docs, 400)
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert found(spark, []) == set()
     t = "".join(map(str, range(400)))
