@@ -84,6 +84,8 @@ class Encoder:
         self.slot = np.empty(0, dtype=np.int64)  # their places in starts/lengths
         self.starts, self.lengths = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.pool = np.empty(0, dtype=np.int32)
+        self.letters = np.empty(0, dtype=np.uint32)  # the words themselves, with their places and sizes
+        self.letter, self.sizes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def _class(self, codes: np.ndarray) -> np.ndarray:
         found = self.classes[codes]
@@ -136,7 +138,7 @@ class Encoder:
         first[at] = True
         begin = np.flatnonzero(self.cuts(codes, first[:n]))
         stop = np.append(begin[1:], n)
-        # Digest of each word: a polynomial in its code points, the same wherever it stands, and its length.
+        # Digest of each word: a polynomial in its code points, the same wherever it stands. Equal digests are compared.
         up, down = self._powers(n)
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
@@ -145,11 +147,18 @@ class Encoder:
             digest *= np.uint64(0xBF58476D1CE4E5B9)
             digest ^= digest >> np.uint64(32)
         words, where, back = np.unique(digest, return_index=True, return_inverse=True)
-        place = self._places(words, (whole, begin[where], stop[where]))
-        counts = self.lengths[place][back]
-        from_ = self.starts[place][back]
-        ends = np.cumsum(counts)
-        ids = self.pool[np.repeat(from_ - (ends - counts), counts) + np.arange(ends[-1])]
+        place = None
+        if _equal(codes, begin, stop - begin, codes, begin[where][back], (stop - begin)[where][back]):
+            place = self._places(words, codes, (whole, begin[where], stop[where]))
+        if place is None:  # two words of one digest: by the words themselves
+            own = {w: merge_word(w.encode(), self.rank) for w in {whole[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)}}
+            each = [own[whole[a:b]] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+            ends, ids = np.cumsum([len(x) for x in each]), np.array([i for x in each for i in x], dtype=np.int32)
+        else:
+            counts = self.lengths[place][back]
+            from_ = self.starts[place][back]
+            ends = np.cumsum(counts)
+            ids = self.pool[np.repeat(from_ - (ends - counts), counts) + np.arange(ends[-1])]
         upto = np.concatenate([[0], ends])[np.searchsorted(begin, at)]
         return ids, upto
 
@@ -161,22 +170,30 @@ class Encoder:
                 self._down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _INVERSE, dtype=np.uint64)]), dtype=np.uint64)
         return self._up, self._down
 
-    def _places(self, words: np.ndarray, source: tuple[str, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Places of the words' ids; new words are merged and kept."""
+    def _places(self, words: np.ndarray, codes: np.ndarray, source: tuple[str, np.ndarray, np.ndarray]) -> np.ndarray | None:
+        """Places of the words' ids; new words are merged and kept. None where a kept word of a digest is another word."""
         if len(self.keys) + len(words) > KEPT_WORDS:
             self._forget()
         at = np.searchsorted(self.keys, words)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == words[known]
         new = np.flatnonzero(~known)
+        whole, begin, stop = source
+        old = np.flatnonzero(known)
+        slot = self.slot[at[old]]
+        if not _equal(codes, begin[old], (stop - begin)[old], self.letters, self.letter[slot], self.sizes[slot]):
+            return None
         if len(new):
-            whole, begin, stop = source
             rank = self.rank
             fresh = [merge_word(whole[a:b].encode(), rank) for a, b in zip(begin[new].tolist(), stop[new].tolist(), strict=True)]
             lengths = np.array([len(x) for x in fresh], dtype=np.int64)
             starts = len(self.pool) + np.concatenate([[0], np.cumsum(lengths)[:-1]])
             self.pool = np.concatenate([self.pool, np.array([i for x in fresh for i in x], dtype=np.int32)])
             slots = len(self.starts) + np.arange(len(new))
+            sizes = (stop - begin)[new]
+            self.letter = np.concatenate([self.letter, len(self.letters) + np.concatenate([[0], np.cumsum(sizes)[:-1]])])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.letters = np.concatenate([self.letters, codes[_spread(begin[new], sizes)]])
             self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
             keys, slot = np.concatenate([self.keys, words[new]]), np.concatenate([self.slot, slots])
             order = np.argsort(keys, kind="stable")
@@ -189,6 +206,17 @@ class Encoder:
         return b"".join(self.symbols[i] for i in ids).decode("utf-8", errors="replace")
 
 
+def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all characters of words."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begin - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _equal(a: np.ndarray, at: np.ndarray, sizes: np.ndarray, b: np.ndarray, there: np.ndarray, others: np.ndarray) -> bool:
+    """Whether words (place and size) of two arrays of characters are equal, each to its own."""
+    return bool(np.array_equal(sizes, others) and np.array_equal(a[_spread(at, sizes)], b[_spread(there, sizes)]))
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
