@@ -12,9 +12,12 @@ fails its check is dropped; very long texts are cut into sequences between token
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -22,34 +25,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.llm import pii_table
-from letterloom.llm.names import FIRST_NAMES, fold
 
 KINDS = ("email", "telefon", "ahv", "adresse", "name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Copies of the labelled table, passes over it, step size and weight decay of the training; tokens of one sequence.
-COPIES, EPOCHS, RATE, DECAY, LONGEST = 22, 12, 0.05, 1e-5, 400
+COPIES, EPOCHS, RATE, DECAY, LONGEST = 16, 6, 0.05, 1e-4, 400
+#: Part of the spelling features that is left out at random in training.
+DROPPED = 0.5
 REACH = 2
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_")
-_FIRST = {fold(w) for f, short in FIRST_NAMES.items() for w in (f, *short.split())}
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 
 
 def tokens(text: str) -> list[tuple[str, int, int]]:
     return [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
 
+def marked(text: str) -> list[tuple[str, int, int]]:
+    """Tokens with marks (after a zero character) for what their surroundings look like: the form of a number, an e-mail
+    or a street, the place in a run of capitalised words and what stands before the run."""
+    found = tokens(text)
+    marks: list[list[str]] = [[] for _ in found]
+    starts = np.array([a for _, a, _ in found], dtype=np.int64)
+    for name, pattern in (("mail", _EMAIL), ("phone", _PHONE), ("ahv", _AHV), ("street", _STREET)):
+        for m in pattern.finditer(text):
+            for k in range(int(np.searchsorted(starts, m.start())), int(np.searchsorted(starts, m.end()))):
+                marks[k].append(name)
+    capital = lambda w: w[0].isupper() and w.lower() not in _FUNCTION
+    i = 0
+    while i < len(found):
+        if not capital(found[i][0]):
+            i += 1
+            continue
+        run = [i]
+        j = i + 1
+        while j < len(found) and len(run) < 6:
+            w, gap = found[j][0], text[found[j - 1][2] : found[j][1]]
+            if capital(w) and gap in (" ", "\n", "") or w == "-" and not gap or w == "." and len(found[j - 1][0]) == 1 or w in _PARTICLES and gap == " " and len(run) < 3:
+                if capital(w):
+                    run.append(j)
+                j += 1
+            else:
+                break
+        before = text[: found[i][1]].rstrip(" ")[-1:] if found[i][1] else ""
+        lead = "start" if before in ("", "\n", ".", "!", "?") else "colon" if before == ":" else "comma" if before in ",;" else "mid"
+        for n, k in enumerate(run):
+            marks[k] += [f"run{min(len(run), 4)}", f"run{min(len(run), 4)}.{n}", f"run{min(len(run), 4)}{lead}"]
+        i = max(run[-1] + 1, i + 1)
+    return [(w + "\0" + ",".join(m), a, b) if m else (w, a, b) for (w, a, b), m in zip(found, marks, strict=True)]
+
+
 @lru_cache(maxsize=500_000)
 def features(token: str) -> tuple[str, ...]:
-    """Features of one token, whatever stands beside it."""
+    """Features of one token with its marks."""
+    token, _, marks = token.partition("\0")
+    return (*_plain_features(token), *(f"m{m}" for m in marks.split(",") if m))
+
+
+def _plain_features(token: str) -> tuple[str, ...]:
     if token.isdigit():
         return ("digits", f"n{min(len(token), 14)}", f"z{token[0] == '0'}", "ahv" if token.startswith("756") and len(token) in (3, 13) else "num", *((f"t{token}",) if token in ("41", "0041", "0", "756") else ()))
     if not token[0].isalpha():
         return ("sign", "t" + token)
     low = token.lower()
     shape = "up" if token.isupper() and len(token) > 1 else "cap" if token[0].isupper() else "low"
-    out = ["word", shape, "w" + low, f"l{min(len(token), 6)}", "s3" + low[-3:], "s4" + low[-4:], "s5" + low[-5:], shape + "s4" + low[-4:], "p3" + low[:3]]
-    if fold(token) in _FIRST:
-        out += ["first", shape + "first"]
-    if re.search(r"(?:strasse|str|weg|gasse|platz|rain|halde|allee|ring|gässli)$", low):
+    out = ["word", shape, "w" + low, f"l{min(len(token), 6)}", "s3" + low[-3:], "s4" + low[-4:], "s5" + low[-5:], shape + "s4" + low[-4:], shape + "s2" + low[-2:], "p3" + low[:3], "p4" + low[:4], f"{shape}l{min(len(token), 12)}"]
+    if re.search(r"(?:strasse|str|weg|gasse|platz|rain|halde|allee|ring|gässli|quai|steig)$", low):
         out.append("street")
     if len(token) == 1:
         out.append(shape + "one")
@@ -143,19 +184,26 @@ def gold(found: list[tuple[str, int, int]], spans: list[tuple[int, int, str]]) -
 
 
 @lru_cache(maxsize=4)
-def train(copies: int = COPIES, epochs: int = EPOCHS, seed: int = 11) -> Field:
-    """The field, trained on the labelled table. The same for the same arguments."""
+def train(copies: int = COPIES, epochs: int = EPOCHS, seed: int = 11, held_out: bool | None = False) -> Field:
+    """The field, trained on the labelled table (without its held-out sentences). The same for the same arguments."""
     data = []
+    drop = random.Random(seed)
     index: dict[str, int] = {}
-    for text, spans in pii_table.labelled(copies, seed):
-        found = tokens(text)
+    for text, spans in pii_table.labelled(copies, seed, held_out):
+        found = marked(text)
         if not found:
             continue
         rows = []
         for t, _, _ in found:
-            rows.append([index.setdefault(f, len(index)) for f in features(t)])
+            # Words themselves are left out at random, so that their form and surroundings have to tell.
+            every = [f for f in features(t) if f[0] not in "wsp" or f in ("word", "sign") or drop.random() > DROPPED]
+            rows.append([index.setdefault(f, len(index)) for f in every])
         data.append((rows, np.array(gold(found, spans))))
     n, k = len(index), len(LABELS)
+    # Beside a token the spelling of its neighbours says little: only their shape, marks and words of several sentences.
+    known = Counter(w for x in set(pii_table.SENTENCES) for w in {t.lower() for t, _, _ in tokens(re.sub(r"\{\w+\}", " ", x))})
+    known.update({w.lower(): 2 for w in (*pii_table._TITLE, *pii_table._ORG)})
+    near = np.array([f[0] not in "sp" and not f.startswith(("capl", "capsf", "lowl", "upl")) and (f[0] != "w" or f == "word" or known[f[1:]] > 1) or f in ("sign", "street") for f in index])
     w = np.zeros((2 * REACH + 1, n, k), dtype=np.float32)
     pair, start = np.zeros((k, k), dtype=np.float32), np.zeros(k, dtype=np.float32)
     grown = [np.full(x.shape, 1e-6, dtype=np.float32) for x in (w, pair, start)]
@@ -201,6 +249,8 @@ def train(copies: int = COPIES, epochs: int = EPOCHS, seed: int = 11) -> Field:
                 np.add.at(g, where, g_own[o].reshape(-1, k)[ft])
                 g -= DECAY * w[o, touched]
                 grown[0][o, touched] += g * g
+                if o != REACH:
+                    g[~near[touched]] = 0
                 w[o, touched] += RATE * 2 * g / np.sqrt(grown[0][o, touched])
             for x, g, s in ((pair, g_pair, grown[1]), (start, g_start, grown[2])):
                 s += g * g
@@ -210,6 +260,23 @@ def train(copies: int = COPIES, epochs: int = EPOCHS, seed: int = 11) -> Field:
     return Field(index, w, pair + barred, start)
 
 
+def save(field: Field, path: Path = WEIGHTS, least: float = 0.02) -> None:
+    """Writes the weights; features that hardly weigh anything are left out."""
+    kept = np.flatnonzero(np.abs(field.w).max(axis=(0, 2)) >= least)
+    names = np.array(list(field.index), dtype=object)[kept]
+    np.savez_compressed(path, features=np.array("\n".join(names)), w=field.w[:, kept].astype(np.float16), pair=field.pair, start=field.start)
+
+
+@lru_cache(maxsize=2)
+def load(path: Path = WEIGHTS) -> Field:
+    """The field as trained by ``python -m letterloom.llm.pii``; trained now where the file is absent."""
+    if not path.exists():
+        return train(held_out=None)
+    with np.load(path) as z:
+        names = str(z["features"]).split("\n")
+        return Field({f: i for i, f in enumerate(names)}, z["w"].astype(np.float32), z["pair"], z["start"])
+
+
 def _gradient(e: np.ndarray, y: np.ndarray, live: np.ndarray, pair: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gradient of the log-likelihood: observed less expected counts, by the forward and backward sums."""
     b, m, k = e.shape
@@ -250,11 +317,19 @@ _PHONE = re.compile(r"(?<![\w.+/-])(?:(?:\+|00)41\s?(?:\(0\))?[\s/-]?\d{2}|\(0\d
 _AHV = re.compile(r"(?<![\d.])756(?:\.\d{4}\.\d{4}\.\d{2}|\s\d{4}\s\d{4}\s\d{2}|\d{10})(?!\d|[./]\d)")
 _NUMBERED = re.compile(r"\s+\d{1,4}\s?[a-zA-Z]?(?![\w])(?!\.\d)")
 _TOWN = re.compile(r",?\s+(?:in\s+|à\s+|a\s+)?(?:CH-|CH )?\d{4}\s+[A-ZÄÖÜÉÈ][\w'’-]+(?:\s(?:BE|ZH|SG|AG|VD|TI|GR))?")
+# Words that begin the name of a street in French and Italian.
+_STREET_FIRST = re.compile(r"(?:rue|avenue|av\.|chemin|ch\.|route|place|quai|boulevard|bd|ruelle|allée|impasse|sentier|via|viale|vicolo|piazza|corso)\s", re.I)
+_NUMBER_FIRST = re.compile(r"\d{1,4}\s?[a-zA-Z]?,?\s+(?:rue|avenue|av\.|chemin|ch\.|route|place|quai|boulevard|bd|ruelle|allée|impasse|sentier)(?:\s+(?:de|du|des|la|le|les|l['’]|d['’]))*\s*[^\W\d_][\w'’-]*", re.I)
 # Words before or after a name that make it one of an organisation; forms of address.
 _ORG_BEFORE = {"stiftung", "verein", "garage", "firma", "restaurant", "bäckerei", "metzgerei", "hotel", "gasthof"}
 _ORG_AFTER = {"ag", "gmbh", "sa", "sàrl", "treuhand", "söhne", "co", "genossenschaft", "stiftung"}
 _PARTICLES = {"von", "van", "de", "di", "da", "du", "del", "della", "zu", "zur"}
-_ADDRESS_FORMS = {"frau", "herr", "herrn", "madame", "monsieur", "signora", "signor", "familie", "fam", "dr", "prof", "mme", "beistand", "mutter", "vater", "vaters", "schülerin", "schüler"}
+# Small words that are capitalised only where a sentence begins.
+_FUNCTION = set("der die das den dem des ein eine einer eines einem einen im in am an auf aus bei beim mit nach nach seit von vom zu zum zur für durch ohne gegen um über unter vor hinter neben zwischen und oder aber auch wie wenn als da dass sie er es wir ich ihr ihre ihren ihrem sein seine unser unsere mein dieser diese dieses bitte wegen während gemäss laut nicht nur noch alle le la les un une des du de et il lo gli una il l the a an and of to for at on with please dear".split())
+# Ends of words for streets.
+_STREET = re.compile(r"[^\W\d_][\w-]*(?:strasse|str\.|weg|gasse|platz|rain|halde|allee|quai|steig|promenade|matte|hof)\s+\d{1,4}\b|(?:rue|avenue|chemin|route|place|quai|boulevard|ruelle|allée|via|viale|vicolo|piazza)\s[^\d\n.;:]{2,40}?\s\d{1,4}\b|\d{1,4},?\s(?:rue|avenue|chemin|route|place|quai|boulevard|ruelle)\s[^\d\n,.;:]{2,40}", re.I)
+_PART_OF_STREET = re.compile(r"(?:alte[rs]?|neue[rs]?|obere[rs]?|untere[rs]?|grosse[rs]?|kleine[rs]?|hintere[rs]?|vordere[rs]?|lange[rs]?)\s+$", re.I)
+_ADDRESS_FORMS = {"frau", "herr", "herrn", "madame", "monsieur", "signora", "signor", "familie", "fam", "dr", "prof", "mme", "beistand", "mutter", "vater", "vaters", "schülerin", "schüler", "rechtsanwalt", "rechtsanwältin", "pfarrer", "direktor", "direktorin"}
 
 
 def valid_ahv(text: str) -> bool:
@@ -277,20 +352,35 @@ def checked(text: str, kind: str, a: int, b: int) -> list[tuple[int, int]]:
     if kind == "ahv":
         return [s for s in _overlapping(_AHV, text, a, b) if valid_ahv(text[s[0] : s[1]])]
     if kind == "adresse":
-        # Street and number, then postcode and town where they follow.
-        span = text[a:b]
-        m = re.match(r"[^\d\n]*[^\W\d_][^\d]*?(?=\s+\d)|[^\d]+$", span)
+        return _address(text, a, b)
+    return _names(text, a, b)
+
+
+def _address(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Street and number in either order, then postcode and town where they follow."""
+    if m := re.search(r"(?<![\w.])" + _STREET_FIRST.pattern + r"[^\d\n.,;:]{0,25}$", text[max(0, a - 40) : a], re.I):
+        a = max(0, a - 40) + m.start()
+    elif (m := _STREET.match(text, a)) is None and (m := _STREET.search(text, a, b + 6)) and not _PART_OF_STREET.search(text[a : m.start()]):
+        a = m.start()  # what stands before the street, such as the word address, is none of it
+    before = re.search(r"(?<![\w.,/-])\d{1,4}\s?[a-zA-Z]?,?\s+$", text[max(0, a - 9) : a])
+    if before and _STREET_FIRST.match(text, a):
+        a -= len(before.group())
+    if m := _NUMBER_FIRST.match(text, a):
+        end = m.end()
+    else:
+        # Small words before the street don't belong to it; a street that begins in small letters is one of another language.
+        while (m := re.match(r"(?:an|in|bei|der|die|das|dem|den|am|im|zur|zum|auf|neu|à|au|la|le|nach)\s+", text[a:b])) and not _STREET_FIRST.match(text, a):
+            a += m.end()
+        m = re.match(r"[^\d\n]*[^\W\d_][^\d]*?(?=\s+\d)|[^\d]+$", text[a:b])
         if not m:
             return []
-        end = a + m.end()
-        n = _NUMBERED.match(text, end)
+        n = _NUMBERED.match(text, a + m.end())
         if not n:
             return []
         end = n.end()
-        if t := _TOWN.match(text, end):
-            end = t.end()
-        return [(a, end)]
-    return _names(text, a, b)
+    if t := _TOWN.match(text, end):
+        end = t.end()
+    return [(a, end)]
 
 
 def _names(text: str, a: int, b: int) -> list[tuple[int, int]]:
@@ -334,7 +424,7 @@ def find(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
     """(begin, end, kind) of the personal data in each text, in order."""
     pieces: list[tuple[int, list[tuple[str, int, int]]]] = []
     for i, text in enumerate(texts):
-        found = tokens(text)
+        found = marked(text)
         for at in range(0, max(len(found), 1), LONGEST - 50):
             if part := found[at : at + LONGEST]:
                 pieces.append((i, part))
@@ -381,8 +471,8 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 def personal_data(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, maskiert, funde): each row's text with placeholders and what was found (art, fund, von, bis).
 
-    The field is trained on the driver and sent to the workers (its size is that of the table's features)."""
-    field = train()
+    The trained weights are read on the driver and sent to the workers (their size is that of the table's features)."""
+    field = load()
     shared = df.sparkSession.sparkContext.broadcast((field.index, field.w, field.pair, field.start))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -399,3 +489,7 @@ def personal_data(df: DataFrame, key: str, text: str) -> DataFrame:
             })
 
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(run, "id long, text string, maskiert string, funde array<struct<art:string,fund:string,von:int,bis:int>>")
+
+
+if __name__ == "__main__":
+    save(train(held_out=None))
