@@ -1,10 +1,11 @@
 """Repair of text from scanned pages.
 
-Corpus statistics come from all rows: word counts, and how often a word stands in lines next to a page boundary. Skip-
-gram vectors (in their implicit form: positive pointwise mutual information of word and neighbour, factorised) are
-learnt for the frequent words from neighbour counts over all texts. Rare words are linked to frequent ones that undoing
-a plausible glyph error yields, and of several the context decides. With running heads and page numbers found, words
-broken over lines are joined, and the rest is reflowed into paragraphs.
+Corpus statistics come from all rows: word counts, neighbours, and how often a word stands in lines next to a page
+boundary. Skip-gram vectors are learnt by negative sampling from all neighbours of all words, in rounds of batches over
+the cluster; words share a table of fixed size by two digests each, so every word has a vector and none is cut off. Rare
+words are linked to frequent ones that undoing a plausible glyph error yields; of several, the nearness of the vectors,
+the context and the frequency decide. With running heads and page numbers found, words broken over lines are joined, and
+the rest is reflowed into paragraphs.
 
 Defined results: null and void texts give nothing; null elements of line arrays are skipped; repeated rows count once
 in the result; a word that no frequent word explains stays as it is.
@@ -12,6 +13,7 @@ in the result; a word that no frequent word explains stays as it is.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import re
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from letterloom.llm.names import distance
 from letterloom.runtime import written
 
-#: Most frequent words with a vector; all pairs of these count. This bounds what goes to the driver and the workers.
-VECTOR_WORDS, DIMENSIONS = 3000, 32
+#: Rows and width of the table of vectors, which fixes its size; rounds of training, negative words to a pair, first step.
+BUCKETS, DIMENSIONS, ROUNDS, NEGATIVE, STEP = 1 << 15, 24, 3, 4, 0.25
+#: The most frequent words without a correction, which the workers need not report; how many changes no result.
+COMMON = 3000
 #: Words of running heads that are compared with others at a time; all are, block by block.
 HEAD_BLOCK = 20_000
 #: A frequent word is at least so frequent, and so many times as frequent as the misread one.
@@ -218,49 +222,114 @@ def statistics(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def vectors(i: np.ndarray, j: np.ndarray, counts: np.ndarray, vocabulary: dict[str, int]) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of the vocabulary from the counts of all its neighbours (each pair of places i, j once):
-    factorised positive mutual information."""
-    n = len(vocabulary)
-    if not n:
-        return {}
-    m = np.zeros((n, n), dtype=np.float32)
-    m[i, j] += counts
-    m[j, i] += counts
-    total = max(float(m.sum()), 1.0)
-    p = m.sum(axis=1, keepdims=True)
-    smooth = np.power(p, 0.75)
-    smooth *= total / max(float(smooth.sum()), 1.0)
-    pmi = m
-    for r in range(n):
-        j = np.nonzero(m[r])[0]
-        pmi[r, j] = np.maximum(np.log(m[r, j] * total / (p[r, 0] * smooth[j, 0])), 0)
-    # Randomised subspace iteration: the leading part of the spectrum is enough.
-    rng = np.random.default_rng(7)
-    k = min(DIMENSIONS, n)
-    q = np.linalg.qr(pmi @ rng.standard_normal((n, k)).astype(np.float32))[0]
-    for _ in range(4):
-        q = np.linalg.qr(pmi @ (pmi.T @ q))[0]
-    v = pmi.T @ q
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    return {w: v[i] for i, w in enumerate(vocabulary)}
+@lru_cache(maxsize=300_000)
+def places(word: str) -> tuple[int, int]:
+    """Two rows of the table of vectors; a word's vector is their sum."""
+    d = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+    return d % BUCKETS, (d >> 32) % BUCKETS
+
+
+def _trained(a: np.ndarray, b: np.ndarray, n: np.ndarray, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """What one pass over pairs (places of word and neighbour, count) adds to the table (words, neighbours): ascent on the
+    likelihood of the pairs against words drawn by their smoothed frequency, with a step of its own for each row."""
+    new, grown = table.copy(), np.full(table.shape[:2], 1e-3, dtype=np.float32)
+    weight = np.power(n, 0.75)
+    noise = np.cumsum(weight) / weight.sum()
+    weight = (weight / weight.mean()).astype(np.float32)
+    order = rng.permutation(len(a))
+    for lo in range(0, len(order), 8192):
+        at = order[lo : lo + 8192]
+        left = new[0][a[at]].sum(axis=1)
+        others = b[np.searchsorted(noise, rng.random((len(at), NEGATIVE)))]
+        right = np.concatenate([b[at][:, None], others], axis=1)
+        vectors = new[1][right].sum(axis=2)
+        score = np.einsum("id,ikd->ik", left, vectors)
+        g = -1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        g[:, 0] += 1
+        g *= np.minimum(weight[at], 20)[:, None]
+        sides = ((0, a[at].ravel(), np.repeat(np.einsum("ik,ikd->id", g, vectors), 2, axis=0)), (1, right.ravel(), np.repeat((g[:, :, None] * left[:, None, :]).reshape(-1, left.shape[1]), 2, axis=0)))
+        for side, rows, slope in sides:
+            own, where = np.unique(rows, return_inverse=True)
+            total = np.zeros((len(own), slope.shape[1]), dtype=np.float32)
+            np.add.at(total, where, slope)
+            grown[side, own] += (total * total).mean(axis=1)
+            new[side, own] += STEP * total / np.sqrt(grown[side, own])[:, None]
+    return new - table
+
+
+def skip_grams(pairs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """The table of vectors [words or neighbours, row, width] from all neighbours (a, b, n) of all texts.
+
+    Each task passes over its pairs from the table so far; what the tasks add is averaged row by row in the cluster, and
+    only the table itself, of a fixed size, goes to the driver and back.
+    """
+    table = np.zeros((2, BUCKETS, DIMENSIONS), dtype=np.float32)
+    table[0] = np.random.default_rng(7).normal(scale=0.1, size=table[0].shape)
+    context = pairs.sparkSession.sparkContext
+    for k in range(rounds):
+        shared = context.broadcast(table)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared, k=k) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                a, b = np.array([places(w) for w in x["a"]], dtype=np.int64).reshape(-1, 2), np.array([places(w) for w in x["b"]], dtype=np.int64).reshape(-1, 2)
+                n = np.tile(x["n"].to_numpy(dtype=np.float64), 2)
+                if not len(n):
+                    continue
+                # The seed comes from the rows, so a task that runs again adds the same.
+                rng = np.random.default_rng([k, len(n), int(n.sum())])
+                more = _trained(np.concatenate([a, b]), np.concatenate([b, a]), n, shared.value, rng)
+                for side in (0, 1):
+                    rows = np.flatnonzero(np.abs(more[side]).max(axis=1) > 0)
+                    for part in range(16):
+                        own = rows[rows % 16 == part]
+                        yield pd.DataFrame({"side": [side], "part": [part], "rows": [own.astype(np.int32).tobytes()], "more": [more[side, own].tobytes()]})
+
+        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+            total, met = np.zeros((BUCKETS, DIMENSIONS), dtype=np.float32), np.zeros(BUCKETS, dtype=np.float32)
+            for rows, more in zip(pdf["rows"], pdf["more"], strict=True):
+                own = np.frombuffer(rows, dtype=np.int32)
+                total[own] += np.frombuffer(more, dtype=np.float32).reshape(-1, DIMENSIONS)
+                met[own] += 1
+            own = np.flatnonzero(met)
+            return pd.DataFrame({"side": [pdf["side"].iloc[0]], "rows": [own.astype(np.int32).tobytes()], "more": [(total[own] / met[own, None]).tobytes()]})
+
+        added = pairs.mapInPandas(run, "side int, part int, rows binary, more binary").groupBy("side", "part").applyInPandas(mean, "side int, rows binary, more binary")
+        table = table.copy()
+        for r in added.collect():
+            table[r["side"], np.frombuffer(r["rows"], dtype=np.int32)] += np.frombuffer(r["more"], dtype=np.float32).reshape(-1, DIMENSIONS)
+        shared.destroy()
+    return table
 
 
 class Reader:
-    """What the workers need to know: bounded by the numbers at the top of the module."""
+    """What the workers need to know: the common words and the table of vectors, both of a fixed size."""
 
-    def __init__(self, frequent: dict[str, int], space: dict[str, np.ndarray]):
-        self.frequent = frequent
-        self.space = space
+    def __init__(self, common: set[str], table: np.ndarray):
+        self.common = common
+        self.table = table
+        self.known: dict[tuple[int, str], np.ndarray] = {}
+
+    def vector(self, word: str, side: int = 0) -> np.ndarray:
+        v = self.known.get((side, word))
+        if v is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            v = self.known[side, word] = self.table[side, places(word)].sum(axis=0) if side else _unit(self.table[0, places(word)].sum(axis=0))
+        return v
 
     def context(self, found: list[str], i: int) -> list[str]:
-        return [w for w in found[max(0, i - 2) : i] + found[i + 1 : i + 3] if w in self.space]
+        return [w for w in found[max(0, i - 2) : i] + found[i + 1 : i + 3] if plain(w)]
+
+    def fit(self, word: str, right: str, n: int, context: list[str]) -> float:
+        """How well a frequent word stands for a rare one: by its frequency, the nearness of their vectors, and how likely
+        it is in the context."""
+        near = float(self.vector(word) @ self.vector(right))
+        likely = float(np.mean([np.tanh(self.table[0, places(right)].sum(axis=0) @ self.vector(c, 1)) for c in context])) if context else 0.0
+        return math.log(n) + 2 * near + 2 * likely
+
 
-    def nearness(self, word: str, context: list[str]) -> float:
-        """Mean cosine of a word and its context; 0 where either has no vector."""
-        if word not in self.space or not context:
-            return 0.0
-        return float(np.mean([self.space[word] @ self.space[c] for c in context]))
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / max(float(np.linalg.norm(v)), 1e-9)
 
 
 def head_words(wanted: DataFrame, counts: DataFrame) -> DataFrame:
@@ -319,12 +388,9 @@ def learn(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Reader]:
     near = stats.where("kind = 'p'").select(F.col("a").alias("word"), F.col("n").alias("near"))
     ranked = written(counts.join(near, "word", "left").select("word", "n", F.coalesce("near", F.lit(0)).alias("near")), "scan-words")
     fixes = written(corrections(counts), "scan-corrections")
-    top = {r["word"]: r["n"] for r in counts.where(F.col("n") >= LEAST).join(fixes.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(VECTOR_WORDS).collect()}
-    known = rows.sparkSession.createDataFrame([(w, i) for i, w in enumerate(top)] or [("", 0)], "a string, i int")
-    pairs = stats.where("kind = 'c'").join(F.broadcast(known), "a").join(F.broadcast(known.select(F.col("a").alias("b"), F.col("i").alias("j"))), "b")
-    met = pairs.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.sum("n").alias("n")).toArrow()
-    space = vectors(*(met[c].to_numpy() for c in ("i", "j", "n")), top)
-    return counts, fixes, head_lines(rows, stats, ranked), Reader(top, space)
+    common = {r["word"] for r in counts.where(F.col("n") >= LEAST).join(fixes.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON).collect()}
+    table = skip_grams(stats.where("kind = 'c'").select("a", "b", "n"))
+    return counts, fixes, head_lines(rows, stats, ranked), Reader(common, table)
 
 
 def corrections(counts: DataFrame) -> DataFrame:
@@ -373,7 +439,7 @@ def findings(rows: DataFrame, heads: DataFrame, reader: Reader) -> DataFrame:
                         continue
                     found = words(x)
                     for p, w in enumerate(found):
-                        if w in r.frequent or not plain(w) or p == 0 and (i, 0) in taken or p == len(found) - 1 and (i, -1) in taken:
+                        if w in r.common or not plain(w) or p == 0 and (i, 0) in taken or p == len(found) - 1 and (i, -1) in taken:
                             continue
                         out.append((doc, feld, "wort", w, w, r.context(found, p)))
             yield pd.DataFrame(out, columns=["doc", "feld", "art", "wert", "word", "context"]).drop_duplicates(subset=["doc", "feld", "art", "wert", "word"])
@@ -389,12 +455,12 @@ def repairs(rows: DataFrame) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(reader)
 
     @F.pandas_udf("double")
-    def fit(right: pd.Series, n: pd.Series, context: pd.Series) -> pd.Series:
+    def fit(word: pd.Series, right: pd.Series, n: pd.Series, context: pd.Series) -> pd.Series:
         r = shared.value
-        return pd.Series([math.log(k) + 4 * r.nearness(w, list(c) if c is not None else []) for w, k, c in zip(right, n, context, strict=True)])
+        return pd.Series([r.fit(w, x, k, list(c) if c is not None else []) for w, x, k, c in zip(word, right, n, context, strict=True)], dtype="float64")
 
     # Words: of several frequent words the context and the frequency decide.
-    hits = found.where("art in ('wort', 'trennung')").join(fixes, "word").withColumn("fit", fit("right", "n_right", "context"))
+    hits = found.where("art in ('wort', 'trennung')").join(fixes, "word").withColumn("fit", fit("word", "right", "n_right", "context"))
     best = hits.groupBy("doc", "feld", "art", "word").agg(F.max(F.struct("fit", "right"))["right"].alias("right"))
     misread = best.where("art = 'wort'").select("doc", "feld", F.lit("zeichen").alias("art"), F.col("right").alias("wert"), "word")
     cut = found.where("art = 'trennung'").join(best.where("art = 'trennung'").select("doc", "feld", "word", "right"), ["doc", "feld", "word"], "left")
