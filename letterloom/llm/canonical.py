@@ -16,11 +16,13 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from letterloom.llm import names
 
@@ -72,55 +74,83 @@ def _light(text: str) -> str:
     return " ".join(text.casefold().split())
 
 
+@dataclass(frozen=True)
+class Entry:
+    """An entry of a reference list: its place, name, short form and other spellings."""
+
+    pos: int
+    name: str
+    short: str | None
+    forms: tuple[str, ...]
+
+
 class NameMatcher:
-    """Finds the entry of a list of senders that a typed name means."""
+    """Finds the entry of a list of senders that a typed name means.
+
+    ``weights`` are those of the words of the whole list (``names.weight``), ``rare`` the weight of a word it doesn't have.
+    The dictionary holds the words that tell entries apart; what it meets is compared as a whole (``names.compare``).
+    """
 
-    def __init__(self, entries: list[tuple[str, str | None, list[str]]]):
-        """entries: (name, short form, other spellings), in the order of the list."""
-        self.order = {}
+    #: Least part of the weight of both names that has to agree.
+    AGREE = 0.5
+
+    def __init__(self, entries: list[Entry], weights: dict[str, float], rare: float):
+        self.weights, self.rare = weights, rare
+        self.entries = {e.name: e for e in reversed(entries)}
         self.exact: dict[str, str] = {}
-        self.posting: dict[str, list[tuple[str, names.Name]]] = defaultdict(list)
-        self.short: dict[str, list[tuple[str, names.Name]]] = defaultdict(list)
+        self.posting: dict[str, set[tuple[str, tuple[names.Word, ...]]]] = defaultdict(set)
         self.used: Counter[str] = Counter()
         self.spelt: dict[str, set[str]] = defaultdict(set)
-        for name, short, others in entries:
-            self.order.setdefault(name, len(self.order))
-            self.exact.setdefault(name, name)
-            own = names.parse(name)
-            forms = {f for f in map(names.parse, [name, *others]) if f.core}
-            for f in forms:
-                self.posting[f.core].append((name, f))
-            for s in {_light(x) for x in [name, *others]}:
+        self.shorts: dict[str, set[str]] = defaultdict(set)
+        for e in entries:
+            self.exact.setdefault(e.name, e.name)
+            for s in {_light(x) for x in [e.name, *e.forms]}:
                 self.used[s] += 1
-                self.spelt[name].add(s)
-            keys = {names.fold(short)} if short else set()
-            keys |= {k for k in map(names.skeleton, {f.core for f in forms if f.branch}) if k}
-            for k in keys:
-                self.short[k].append((name, own))
-        self.words = SymmetricDelete(set(self.posting), lambda n: 0 if n < 4 else 1 if n < 7 else 2)
+                self.spelt[e.name].add(s)
+            forms = {names.weigh(names.words(x), weights, rare) for x in [e.name, *e.forms]}
+            if own := names.weigh(names.words(e.name), weights, rare):
+                if short := names.bare(e.short or "").strip():
+                    forms.add((names.Word(short, own[0].weight), *own[1:]))
+            for f in forms - {()}:
+                for w in f:
+                    if w is f[0] or w.weight >= names.SECOND * f[0].weight:
+                        self.posting[w.text].add((e.name, f))
+        for w in self.posting:
+            for k in names.short_keys(w) if len(w) >= 5 else ():
+                self.shorts[k].add(w)
+        self.words = SymmetricDelete(set(self.posting), names.bound)
+
+    def _met(self, typed: tuple[names.Word, ...]) -> set[str]:
+        met = {w for t in typed for _, w in self.words.near(t.text)}
+        for t in typed:
+            if names.is_short(t.text):
+                met |= {w for w in self.shorts.get(t.text[:3], ()) if names.short_cost(t.text, w) is not None}
+            if len(t.text) >= 8:
+                # Words written as one: what stands before or after a word of the list, else all beginnings.
+                cuts = range(4, len(t.text) - 1)
+                parts = [p for c in cuts for p, q in ((t.text[:c], t.text[c:]), (t.text[c:], t.text[:c])) if q in self.weights]
+                found = {w for p in parts for _, w in self.words.near(p)}
+                met |= found or ({w for c in cuts for _, w in self.words.near(t.text[:c])} if not met else set())
+        return met
 
     def __call__(self, raw: str) -> tuple[float, str]:
         """(score, name); a score of 9 and '' for a miss."""
         if (name := self.exact.get(" ".join(raw.split()))) is not None:
             return 0.0, name
-        n = names.parse(raw)
-        if not n.core:
-            return 9.0, ""
+        typed = names.weigh(names.words(raw), self.weights, self.rare)
         best: dict[str, float] = {}
-        for d, word in self.words.near(n.core):
-            for name, form in self.posting[word]:
-                # A word that the list has without a business is met almost exactly by a name with one, or not at all.
-                if (c := names.compatible(n, form)) and (d <= 0.5 or bool(n.branch) <= bool(form.branch)):
-                    best[name] = min(best.get(name, 9.0), d + (1 - c) * 0.6)
-        for name, form in self.short.get(n.core, ()):
-            if c := names.compatible(n, form):
-                best[name] = min(best.get(name, 9.0), 0.4 + (1 - c) * 0.6)
+        for name, form in {x for w in self._met(typed) for x in self.posting[w]}:
+            if (hit := names.compare(typed, form)) and hit[1] >= self.AGREE:
+                best[name] = min(best.get(name, 9.0), hit[0])
         if not best:
             return 9.0, ""
-        least, light = min(best.values()), _light(raw)
-        rank = lambda x: (light not in self.spelt[x], -self.used[_light(x)], self.order[x])
-        name = min((x for x, s in best.items() if s <= least + 0.05), key=rank)
-        return least, name
+        least = min(best.values())
+        return least, min((x for x, s in best.items() if s <= least + 0.05), key=lambda x: self.rank(raw, x))
+
+    def rank(self, raw: str, name: str) -> tuple:
+        """Of names that fit alike: the one with the typed spelling, the one the list uses more, the first."""
+        light = _light(raw)
+        return (light not in self.spelt[name], -self.used[_light(name)], self.entries[name].pos)
 
 
 # Words and signs around a type of document that don't belong to it.
@@ -136,12 +166,13 @@ def type_words(text: str) -> str:
 class TermMatcher:
     """Finds the entry of a list of terms that a typed term means."""
 
-    def __init__(self, entries: list[tuple[str, str | None, list[str]]]):
+    def __init__(self, entries: list[Entry], weights: dict[str, float] | None = None, rare: float = 0.0):
         self.entry: dict[str, str] = {}
+        self.pos = {e.name: e.pos for e in reversed(entries)}
         self.used: Counter[str] = Counter()
-        for name, _short, others in entries:
-            for term in {type_words(x) for x in [name, *others]} - {""}:
-                self.entry.setdefault(term, name)
+        for e in entries:
+            for term in {type_words(x) for x in [e.name, *e.forms]} - {""}:
+                self.entry.setdefault(term, e.name)
                 self.used[term] += 1
         self.words = SymmetricDelete(set(self.entry), lambda n: 0 if n < 5 else 1 if n < 7 else 2 if n < 10 else 3)
 
@@ -156,47 +187,59 @@ class TermMatcher:
         d, word = min(found, key=lambda x: (x[0], -self.used[x[1]], x[1]))
         return d, self.entry[word]
 
+    def rank(self, raw: str, name: str) -> tuple:
+        return (0, -self.used[type_words(raw)], self.pos[name])
+
 
 def match_values(values: DataFrame, reference: DataFrame, matcher: type, block: int = BLOCK) -> DataFrame:
     """``values`` (with a string column ``wert``) and the entry ``ziel`` that each means, '' for a miss.
 
-    ``reference``: pos, name, kurz, formen (array of spellings). Values are matched where they stand, without a shuffle;
-    a worker remembers the values it has met.
+    ``reference``: name, kurz, formen (array of spellings), and pos for their order. Distinct values are matched, each
+    with every block of the list, and the best hit over all blocks counts by the same rank as within one. The weights of
+    words are those of the whole list, whatever the blocks.
     """
+    reference = reference.where("name is not null").select("pos", "name", "kurz", F.coalesce("formen", F.array().cast("array<string>")).alias("formen"))
     n = reference.count()
     blocks = max(1, -(-n // block))
-    parts = []
-    for b in range(blocks):
-        rows = reference.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b) if blocks > 1 else reference
-        entries = [(r["name"], r["kurz"], [x for x in (r["formen"] or []) if x]) for r in rows.orderBy("pos").collect() if r["name"]]
-        parts.append(_matched(values, entries, matcher))
+    weights = _weights(reference, n)
+    distinct = values.select("wert").distinct() if blocks > 1 else values
+    parts = [_matched(distinct, reference.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b) if blocks > 1 else reference, weights, names.rarest(n), matcher) for b in range(blocks)]
     if blocks == 1:
-        return parts[0].drop("_score")
+        return parts[0].drop("_score", "_rank")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    keys = values.columns
-    best = every.groupBy(*keys).agg(F.min(F.struct("_score", "ziel")).alias("m"))
-    return best.select(*keys, F.col("m.ziel").alias("ziel"))
+    least = every.groupBy(F.col("wert").alias("_w")).agg(F.min("_score").alias("_least"))
+    close = every.join(least, F.col("wert").eqNullSafe(F.col("_w"))).where(F.col("_score") <= F.col("_least") + 0.05)
+    best = close.groupBy("wert").agg(F.min_by("ziel", F.struct("_rank", "ziel")).alias("ziel")).withColumnRenamed("wert", "_w")
+    return values.join(best, F.col("wert").eqNullSafe(F.col("_w")), "left").drop("_w")
+
 
+def _weights(reference: DataFrame, n: int) -> DataFrame:
+    """(word, weight) of the words of the list."""
+    spelt = reference.select(F.col("name").alias("entry"), F.explode(F.concat(F.array("name"), "formen")).alias("form")).distinct()
+    return names.weight(names.word_counts(names.split_words(spelt, "form")), n)
 
-def _matched(values: DataFrame, entries: list, matcher: type) -> DataFrame:
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*values.schema.fields, T.StructField("ziel", T.StringType()), T.StructField("_score", T.DoubleType())])
-    shared = values.sparkSession.sparkContext.broadcast(entries)
+def _matched(values: DataFrame, rows: DataFrame, weights: DataFrame, rare: float, matcher: type) -> DataFrame:
+    entries = [Entry(i, r["name"], r["kurz"], tuple(x for x in r["formen"] if x)) for i, r in enumerate(rows.orderBy("pos", "name").collect())]
+    own = names.split_words(rows.select(F.explode(F.concat(F.array("name"), "formen")).alias("form")), "form").select(F.explode("words").alias("word")).distinct()
+    known = {r["word"]: r["weight"] for r in weights.join(own, "word", "left_semi").collect()}
+    schema = T.StructType([*values.schema.fields, T.StructField("ziel", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rank", T.ArrayType(T.LongType()))])
+    shared = values.sparkSession.sparkContext.broadcast((entries, known, rare))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, known = None, {}
+        find, met = None, {}
         for batch in batches:
-            find = find or matcher(shared.value)
+            find = find or matcher(*shared.value)
             hits = []
             for raw in batch["wert"].tolist():
-                if raw not in known:
-                    if len(known) > 500_000:
-                        known.clear()
-                    known[raw] = find(raw) if isinstance(raw, str) else (9.0, "")
-                hits.append(known[raw])
-            yield batch.assign(ziel=[h[1] for h in hits], _score=[h[0] for h in hits])
+                if raw not in met:
+                    if len(met) > 500_000:
+                        met.clear()
+                    score, ziel = find(raw) if isinstance(raw, str) else (9.0, "")
+                    met[raw] = score, ziel, [int(x) for x in find.rank(raw, ziel)] if ziel else []
+                hits.append(met[raw])
+            yield batch.assign(ziel=[h[1] for h in hits], _score=[h[0] for h in hits], _rank=[h[2] for h in hits])
 
     return values.mapInPandas(run, schema)

@@ -33,26 +33,82 @@ def test_distance_within_the_bound_matches_the_full_table():
 
 
 @pytest.mark.parametrize(
-    ("raw", "core", "branch"),
+    ("raw", "want"),
     [
-        ("Rivegodokb Sàrl", "rivegodo", "kantonalbank"),
-        ('"Hauptsitz  Zahnarztpraxis AG Hunebefu."', "hunebefu", "zahnarztpraxis"),
-        ("Grivumitristeuerber.", "grivumitri", "steuerberatung"),
-        ("Muvibuna Pens.-Kasse AG Feldingen", "muvibuna", "pensionskasse"),
-        ("T0nigradi E-Werk", "tonigradi", "elektrizitatswerk"),
+        ("Rivegodokb Sàrl", ("rivegodokb",)),
+        ('"Hauptsitz  Zahnarztpraxis AG Hunebefu."', ("hauptsitz", "zahnarztpraxis", "hunebefu")),
+        ("Muvibuna Pens.-Kasse AG in Feldingen", ("muvibuna", "penskasse")),
+        ("T0nigradi E-Werk (Schweiz) 12", ("tonigradi", "ewerk")),
+        ("Fam. MUSTER, O.", ("muster", "o")),
+        (None, ()),
+        (" * ", ()),
     ],
 )
-def test_organisations_are_taken_apart(raw, core, branch):
-    n = names.parse(raw)
-    assert (n.core, n.branch) == (core, branch)
+def test_words_of_names(raw, want):
+    assert names.words(raw) == want
 
 
-def test_persons_and_voids():
-    assert names.parse("ZIDRAPISIER Basti").first == "sebastian"
-    assert names.parse("Fam. Rose-Marie Trubruhudreer").first == "rosmarie"
-    assert names.compatible(names.parse("Muster, O."), names.parse("Ottilia Muster")) > 0.8
-    assert names.compatible(names.parse("Heidi Muster"), names.parse("Ottilia Muster")) == 0
-    assert names.parse(None) == names.parse("") == names.parse(" * ") == names.Name()
+def test_words_that_stand_for_each_other():
+    for pair in ("kk krankenkasse", "opt optik", "optiker optik", "druck druckerei", "gaertnerei gartnerei", "basti sebastian", "lisbeth elisabeth", "thea dorothea", "o oskar", "sepp josef", "baeck baeckerei", "tom thomas", "toni antonio", "klaus nikolaus"):
+        assert names.related(*pair.split()), pair
+    for pair in ("optik garage", "barbara verena", "apotheke kantonalbank", "druckerei baeckerei", "a oskar", "thomas tobias", "marco luca"):
+        assert not names.related(*pair.split()), pair
+    assert names.short_cost("zbhgi", "zabohugi") == 0 and names.short_cost("zbhgi", "mirelodu") is None
+
+
+# Nothing of this occurs in the test tables: lines of business, given names, places and cores.
+BUSINESS = {"Druckerei": "Druck.", "Bäckerei": "Baeckerei", "Molkerei": "Molk.", "Spenglerei": "Spengl.", "Buchhandlung": "Buchh.", "Brauerei": "Brau."}
+GIVEN = {"Thomas": "Tom", "Antonio": "Toni", "Friederike": "Rike", "Alexander": "Alex", "Josephine": "Josie", "Maximilian": "Max"}
+ASIDES = ("Redaktion", "Lager Nord", "Zentrale", "Empfang")
+
+
+def planted(rng, n):
+    """(entity, spelling, other spellings): organisations and persons that the tables don't have."""
+    core = lambda: "".join(rng.choice(["mor", "lan", "pes", "tik", "var", "ond", "sul", "gre", "pla", "ek", "wis", "jur"]) for _ in range(3)).capitalize()
+    slip = lambda w: w[: (i := rng.randrange(1, len(w) - 1))] + rng.choice([w[i] * 2, "", rng.choice("aeiou")]) + w[i + 1 :]
+    out = []
+    for e in range(n):
+        c = core() + rng.choice(["a", "o", "i"])
+        if e % 3:
+            b = rng.choice(sorted(BUSINESS))
+            forms = [f"{c} {b} AG", f"{b} {c}", f"{slip(c)} {b}", f"{c} {BUSINESS[b]}", f"{c} {b} - {rng.choice(ASIDES)}", f"{c}-{b} GmbH", f"{c.upper()} {b.upper()}", f"{rng.choice(ASIDES)} {c} {b}"]
+        else:
+            g = rng.choice(sorted(GIVEN))
+            forms = [f"{g} {c}", f"{c}, {g}", f"{GIVEN[g]} {c}", f"{g[0]}. {c}", f"{c.upper()} {g}", f"{g} {slip(c)}"]
+        out += [(e, f, forms) for f in rng.sample(forms, 4)]
+    return out
+
+
+def rates(got, want):
+    return len(got & want) / max(1, len(want)), len(got & want) / max(1, len(got))
+
+
+def test_unseen_organisations_and_persons_are_linked(spark):
+    rows = planted(random.Random(21), 150)
+    df = spark.createDataFrame([("q", i, f, forms if i % 2 else None) for i, (_, f, forms) in enumerate(rows)], "quelle string, id long, name string, others array<string>")
+    got = {(r["id_a"], r["id_b"]) for r in variants.linked_pairs(variants.link(df)).collect()}
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][0] == rows[j][0]}
+    recall, precision = rates(got, want)
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
+
+
+def test_unseen_values_are_mapped(spark):
+    rows = planted(random.Random(22), 200)
+    entries = {e: (f, forms) for e, f, forms in rows if e < 140}
+    ref = spark.createDataFrame([(e, f, None, rforms[:5]) for e, (f, rforms) in entries.items()], "pos long, name string, kurz string, formen array<string>")
+    df = spark.createDataFrame([(i, f) for i, (_, f, _) in enumerate(rows)], "id long, wert string")
+    got = {(r["id"], r["ziel"]) for r in canonical.match_values(df, ref, canonical.NameMatcher).collect()}
+    want = {(i, entries[e][0] if e in entries else "") for i, (e, _, _) in enumerate(rows)}
+    recall, precision = rates(got, want)
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision, sorted(want - got)[:9])
+
+
+def test_a_common_word_alone_links_nothing(spark):
+    ref = spark.createDataFrame([(1, "Zabohugi Druckerei AG", None, None), (2, "Mirelo Druckerei AG", None, None), (3, "Pavuno Bäckerei AG", None, None)], "pos long, name string, kurz string, formen array<string>")
+    df = spark.createDataFrame([(1, "Mirelo Druckerei"), (2, "Sorteli Baeckerei"), (3, "Druckerei")], "id long, wert string")
+    assert {r["id"]: r["ziel"] for r in canonical.match_values(df, ref, canonical.NameMatcher).collect()} == {1: "Mirelo Druckerei AG", 2: "", 3: ""}
+    firms = spark.createDataFrame([("q", i, f"{c} Druckerei", None) for i, c in enumerate(["Zabohugi", "Mirelo", "Sorteli"])], "quelle string, id long, name string, others array<string>")
+    assert variants.linked_pairs(variants.link(firms)).count() == 0
 
 
 def test_symmetric_delete_misses_nothing_within_its_bound():
@@ -89,36 +145,36 @@ def test_matching_reports_misses_and_is_the_same_in_blocks(spark):
 
 
 def test_types_are_found_under_errors():
-    m = canonical.TermMatcher([("Lohnausweis", None, ["Jahreslohnausweis "]), ("Rechnung", None, ["Faktura"])])
+    m = canonical.TermMatcher([canonical.Entry(0, "Lohnausweis", None, ("Jahreslohnausweis ",)), canonical.Entry(1, "Rechnung", None, ("Faktura",))])
     assert [m(x)[1] for x in ("L0hnausweis (Kopie)", "neue Fackturra", "1. jahreslohnauswels 2023", "Kreuzworträtsel", "???")] == ["Lohnausweis", "Rechnung", "Lohnausweis", "", ""]
 
 
 def test_linking_by_rounds_equals_linking_in_one_task(spark):
     rows = [("q", i, n, None) for i, n in enumerate(["Zabohugi Musikschule AG", "zabohugi MS", "Zabohugl Musikschule", "Musikschule Zabbohugi", "Zabohugi Treuhand", "Ottilia Birnbinder", "Birnbinder, O.", "Heidi Birnbinder", "ZBHGI Musikschule", None, "", "*"])]
-    df = spark.createDataFrame(rows + rows[:3], "quelle string, id long, name string, others array<string>")
+    # Weights come from the rows, so there have to be some that say which words are common.
+    rest = [("q", 100 + i, f"{c} {b}", None) for i, c in enumerate("Mirelo Sorteli Pavuno Lirevo Gadumi Fenosta Kilubra".split()) for b in (("Musikschule", "Treuhand")[i % 2],)]
+    rest += [("q", 200 + i, f"{g} {c}", None) for i, c in enumerate("Quellmann Grabner Hallinger Rosskopf".split()) for g in (("Ottilia", "Heidi")[i % 2],)]
+    df = spark.createDataFrame(rows + rows[:3] + rest, "quelle string, id long, name string, others array<string>")
     want = {(a, b) for g in ({0, 1, 2, 3, 8}, {5, 6}) for a in g for b in g if a < b}
     for together in (variants.TOGETHER, 1):
-        got = {(r["id_a"], r["id_b"]) for r in variants.linked_pairs(variants.link(df, together=together)).collect()}
+        got = {(r["id_a"], r["id_b"]) for r in variants.linked_pairs(variants.link(df, together=together), cell=2).collect()}
         assert got == want
     assert variants.link(df.limit(0)).count() == 0
 
 
-def test_rounds_compare_all_pairs_of_a_component(spark):
-    # The outer two lie beyond the greatest distance of a link, but count for the mean.
-    names_ = ["Zabohugimar Musikschule", "Zabohukimal Musikschule", "Zaboxukinal Musikschule"]
-    cores = [names.parse(x).core for x in names_]
-    near, far = [names.distance(cores[i], cores[j], 9) for i, j in ((0, 1), (1, 2))], names.distance(cores[0], cores[2], 9)
-    assert max(near) <= variants.EDITS < far <= variants.EDITS + 1
-    df = spark.createDataFrame([("q", i, n, None) for i, n in enumerate(names_)], "quelle string, id long, name string, others array<string>")
-    one, rounds = ({tuple(r) for r in variants.linked_pairs(variants.link(df, together=k)).collect()} for k in (variants.TOGETHER, 2))
-    assert one == rounds == {("q", 0, 1), ("q", 0, 2), ("q", 1, 2)}
+def test_rounds_give_the_groups_of_one_task(spark):
+    rng = random.Random(9)
+    links = {(f"n{a:02d}", f"n{b:02d}"): round(rng.random(), 1) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.15}
+    items = sorted({x for k in links for x in k})
+    nodes, edges = spark.createDataFrame([(x,) for x in items], "node string"), spark.createDataFrame([(a, b, s) for (a, b), s in links.items()], "a string, b string, s double")
+    assert {r["node"]: r["label"] for r in variants.linkage_rounds(nodes, edges, 0.3).collect()} == variants.average_linkage(items, links, 0.3)
 
 
 def test_average_linkage_merges_by_the_mean():
-    # 0-1 and 2-3 are close; the one strong link between the two pairs is not enough on average.
-    assert variants.average_linkage(4, {(0, 1): 0.9, (2, 3): 0.9, (1, 2): 0.8}, 0.5) == [0, 0, 2, 2]
-    assert variants.average_linkage(3, {(0, 1): 0.9, (1, 2): 0.8, (0, 2): 0.4}, 0.5) == [0, 0, 0]
-    assert variants.average_linkage(0, {}, 0.5) == []
+    # a-b and c-d are close; the one strong link between the two pairs is not enough on average.
+    assert variants.average_linkage(list("abcd"), {("a", "b"): 0.9, ("c", "d"): 0.9, ("b", "c"): 0.8}, 0.5) == {"a": "a", "b": "a", "c": "c", "d": "c"}
+    assert variants.average_linkage(list("abc"), {("a", "b"): 0.9, ("b", "c"): 0.8, ("a", "c"): 0.4}, 0.5) == {"a": "a", "b": "a", "c": "a"}
+    assert variants.average_linkage([], {}, 0.5) == {}
 
 
 def test_lines_are_told_apart():
@@ -164,24 +220,17 @@ def test_heads_are_told_by_all_words(spark, monkeypatch):
     assert heads() == want
 
 
-def test_vectors_count_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(scans, "VECTOR_PAIRS", 1, raising=False)
-    rows = spark.createDataFrame([(k, "volltext", ["", "eins zwei drei vier eins", "eins drei", "vier zwei zwei"]) for k in range(5)], "doc long, feld string, lines array<string>")
-    space = scans.learn(rows)[-1].space
-    words = ["drei", "eins", "vier", "zwei"]
-    m = np.zeros((4, 4))
-    for line in ("eins zwei drei vier eins", "eins drei", "vier zwei zwei"):
-        at = [words.index(w) for w in line.split()]
-        for a, b in [*zip(at, at[1:]), *zip(at, at[2:])]:
-            m[a, b] += 5
-            m[b, a] += 5
-    p = m.sum(axis=1)
-    smooth = p**0.75 * m.sum() / (p**0.75).sum()
-    pmi = np.maximum(np.log(np.where(m > 0, m, 1e-9) * m.sum() / np.outer(p, smooth)), 0)
-    # Cosines don't depend on the rotation of the vectors.
-    v = pmi / np.linalg.norm(pmi, axis=0)
-    got = np.array([space[w] for w in words])
-    assert np.allclose(got @ got.T, v.T @ v, atol=1e-3)
+def test_skip_grams_bring_words_of_one_context_together(spark):
+    rng = random.Random(6)
+    groups = [[f"{g}wort{i}" for i in range(12)] for g in "abc"]
+    pairs = [(*rng.sample(rng.choice(groups), 2), rng.randint(1, 5)) for _ in range(3000)]
+    reader = scans.Reader(set(), scans.skip_grams(spark.createDataFrame(pairs, "a string, b string, n long").repartition(3), 6))
+    near = lambda a, b: float(reader.vector(a) @ reader.vector(b))
+    own = np.mean([near(*rng.sample(g, 2)) for g in groups for _ in range(20)])
+    other = np.mean([near(rng.choice(groups[i]), rng.choice(groups[i - 1])) for i in range(3) for _ in range(20)])
+    assert own > other + 0.3
+    assert reader.fit("x", "awort1", 5, ["awort2", "awort3"]) > reader.fit("x", "bwort1", 5, ["awort2", "awort3"])
+    assert scans.skip_grams(spark.createDataFrame([], "a string, b string, n long"), 1).shape == (2, scans.BUCKETS, scans.DIMENSIONS)
 
 
 def test_viterbi_matches_all_paths():
@@ -203,14 +252,38 @@ def test_viterbi_matches_all_paths():
         assert path.tolist() == paths[int(np.argmax(scores))]
 
 
-def test_held_out_accuracy_of_the_field():
-    field = pii.train()
+def accuracy(field, data):
     hit = wrong = missed = 0
-    data = pii_table.labelled(3, seed=77)
     for (text, spans), got in zip(data, pii.find([t for t, _ in data], field), strict=True):
         want = {s for s in spans if s[2] != "ahv" or pii.valid_ahv(text[s[0] : s[1]])}
         hit, wrong, missed = hit + len(want & set(got)), wrong + len(set(got) - want), missed + len(want - set(got))
-    assert hit / (hit + wrong) > 0.95 and hit / (hit + missed) > 0.95
+    return hit / (hit + missed), hit / (hit + wrong)
+
+
+def test_accuracy_on_held_out_sentences():
+    recall, precision = accuracy(pii.train(), pii_table.labelled(4, 99, held_out=True))
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
+
+
+def test_kept_weights_are_those_of_training():
+    recall, precision = accuracy(pii.load(), pii_table.labelled(2, 98, held_out=None))
+    assert pii.WEIGHTS.exists() and recall > 0.97 and precision > 0.97
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Am Montag rief Thomas Brunner an", ["Thomas Brunner"]),
+        ("Bitte schreiben Sie Marco Ferrari oder Aisha Khan", ["Marco Ferrari", "Aisha Khan"]),
+        ("Herr Nowak hat bezahlt", ["Nowak"]),
+        ("Der Unterricht bei Lukas Odermatt war gut", ["Lukas Odermatt"]),
+        ("Wohnt an der Seefeldquai 12, 8008 Zürich", ["Seefeldquai 12, 8008 Zürich"]),
+        ("Im Grund 5, 3000 Bern", ["Im Grund 5, 3000 Bern"]),
+        ("12 rue de Lausanne, 1201 Genève", ["12 rue de Lausanne, 1201 Genève"]),
+    ],
+)
+def test_ordinary_sentences(text, want):
+    assert [text[a:b] for a, b, _ in pii.find([text], pii.load())[0]] == want
 
 
 def test_personal_data_of_odd_rows(spark):
