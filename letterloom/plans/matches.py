@@ -96,13 +96,6 @@ def period_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return M.within_days(o, ["o_custkey"], "day", "o_orderkey", 21)
 
 
-def issue_dates(spark: SparkSession, d: str) -> DataFrame:
-    """First numeric day of each letter, within plausible years."""
-    docs = _t(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("l"))
-    head = F.array_join(F.slice("l", 1, 3), "\n")
-    return docs.select("doc_id", D.plausible(D.numeric_day(head), 1990, F.lit(2027)).alias("iso"))
-
-
 def date_spellings(spark: SparkSession, d: str) -> DataFrame:
     """In how many spellings each order day could stand; and one of them in full."""
     days = _t(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso")).distinct()
@@ -124,7 +117,7 @@ def enrich_types(spark: SparkSession, d: str) -> DataFrame:
     return n.join(F.broadcast(types), "key", "left").select("key", "n", F.coalesce("name", F.lit("?")).alias("name"), F.coalesce("synonyms", F.lit(0)).alias("synonyms"))
 
 
-QUERIES = {f.__name__: f for f in (ident_match, ident_fall_through, name_match, person_lookup, type_resolution, referential_check, merge_forbidden, folder_topk, folder_constraints, period_duplicates, issue_dates, date_spellings, audit_latest, enrich_types)}
+QUERIES = {f.__name__: f for f in (ident_match, ident_fall_through, name_match, person_lookup, type_resolution, referential_check, merge_forbidden, folder_topk, folder_constraints, period_duplicates, date_spellings, audit_latest, enrich_types)}
 
 _PHONE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\(0\)', '', 'g'), '[^0-9+]', '', 'g'), '^\+', ''), '^00', '')"
 _IDS = f"""ids AS (SELECT DISTINCT name, kind, key FROM (SELECT name, kind, CASE kind WHEN 'uid' THEN regexp_replace(upper(raw), '[^A-Z0-9]', '', 'g')[:12] WHEN 'telefon' THEN CASE WHEN starts_with({_PHONE}, '0') THEN '41' || substr({_PHONE}, 2) ELSE {_PHONE} END ELSE lower(trim(raw)) END AS key FROM (

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from letterloom.plans import audits, core_problems, details, histories, matches, similar, texts
+from letterloom.plans import audits, core_problems, details, histories, letters, matches, similar, texts
 
-MODULES = (core_problems, audits, texts, matches, histories, details, similar)
+MODULES = (core_problems, audits, texts, matches, histories, details, similar, letters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

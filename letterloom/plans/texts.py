@@ -51,7 +51,6 @@ QUERIES = {
     "text_window": lambda s, d: _t(s, d, "documents").select("doc_id", F.instr("text", "Nummer").alias("at"), "text").where("at > 0").select("doc_id", F.md5(F.substring("text", F.greatest(F.lit(1), F.col("at") - 40), F.lit(120))).alias("window")),
     "excluded_types": lambda s, d: _t(s, d, "documents").join(F.broadcast(_t(s, d, "document_types").select(F.col("name").alias("dokumenttyp"), "ausschliessen")), "dokumenttyp").where(F.exists("ausschliessen", lambda k: (F.length(F.trim(k)) > 0) & F.contains(F.lower("text"), F.lower(F.trim(k))))).select("doc_id", "dokumenttyp"),
     "path_markers": lambda s, d: _t(s, d, "document_review_queue").groupBy(F.lower(F.col("pfad")).rlike("familie|haus").alias("home"), F.substring_index("pfad", "/", -1).alias("leaf")).agg(F.count("*").alias("n")),
-    "pattern_extract": lambda s, d: _t(s, d, "documents").join(F.broadcast(_t(s, d, "correspondents").select(F.col("name").alias("korrespondent"), "corr_id", F.explode("extraktion_muster").alias("feld", "m"))), "korrespondent").where("m.regex is not null and trim(m.regex) <> ''").select("doc_id", "corr_id", "feld", F.regexp_extract("text", F.regexp_replace("m.regex", r"\(\?P<", "(?<"), 0).alias("hit")).where("hit <> ''"),
 }
 
 SQL = {
