@@ -67,7 +67,10 @@ def marked(text: str) -> list[tuple[str, int, int]]:
                 j += 1
             else:
                 break
-        before = text[: found[i][1]].rstrip(" ")[-1:] if found[i][1] else ""
+        at = found[i][1]
+        while at and text[at - 1] == " ":
+            at -= 1
+        before = text[at - 1 : at] if at else ""
         lead = "start" if before in ("", "\n", ".", "!", "?") else "colon" if before == ":" else "comma" if before in ",;" else "mid"
         for n, k in enumerate(run):
             marks[k] += [f"run{min(len(run), 4)}", f"run{min(len(run), 4)}.{n}", f"run{min(len(run), 4)}{lead}"]
