@@ -1,6 +1,9 @@
+import random
 from email.message import EmailMessage
+from pathlib import Path
 
 from letterloom.operators import graph
+from letterloom.runtime import shared_folder
 from letterloom.sources import mail
 from letterloom.sources.paged import PagedSource
 
@@ -37,3 +40,14 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(chain, "a string, b string")).collect()}
     assert {got[f"n{i:03d}"] for i in range(41)} == {"n000"} and got["x"] == got["y"] == "x" and got["z"] == "z" and len(got) == 44
     assert graph.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_components_in_many_rounds(spark):
+    """The plan of a round doesn't carry the sizes of all rounds before, and their files are removed."""
+    order = [f"n{i:03d}" for i in range(200)]
+    random.Random(4).shuffle(order)
+    there = set(Path(shared_folder(spark)).glob("component-*"))
+    labels = graph.components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a string, b string"))
+    assert labels.where("label <> 'n000'").count() == 0 and labels.count() == 200
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**9
+    assert len(set(Path(shared_folder(spark)).glob("component-*")) - there) == 1
