@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,12 @@ def _first(days: Column, excluded: Column) -> Column:
     return F.get(F.filter(days, lambda x: x.isNotNull() & ~F.coalesce(F.array_contains(excluded, x), F.lit(False))), F.lit(0))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` in the expression once, however often ``use`` names it: a candidate that is itself a
+    long expression would else be copied at every place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def issue_date(text: Column, excluded: Column) -> Column:
     """struct(iso, signal): the day on which a letter was issued, by the first signal that a day follows that is not among
     the ``excluded`` ones (birth dates): labels, a place with a comma, and last the last date near the end. Null texts and
@@ -73,11 +81,16 @@ def issue_date(text: Column, excluded: Column) -> Column:
 def valid_issue_date(candidate: Column, scan_year: Column, excluded: Column) -> Column:
     """struct(iso, suspicious): a candidate, ISO or d.m.y, whose year lies from 1990 to the year after the scan and that is
     not excluded; suspicious where it is more than two years older than the scan."""
-    raw = F.left(F.trim(candidate), F.lit(10))
-    iso = F.when(raw.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), raw).otherwise(F.when(raw.rlike("^" + _NUMERIC), first_day(raw)))
-    year = F.left(iso, F.lit(4)).cast("int")
-    ok = year.between(F.lit(1990), scan_year + 1) & ~F.coalesce(F.array_contains(excluded, iso), F.lit(False))
-    return F.struct(F.when(ok, iso).alias("iso"), F.coalesce(ok & (scan_year - year > 2), F.lit(False)).alias("suspicious"))
+
+    def of(raw: Column) -> Column:
+        return F.when(raw.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), raw).otherwise(F.when(raw.rlike("^" + _NUMERIC), first_day(raw)))
+
+    def checked(iso: Column) -> Column:
+        year = F.left(iso, F.lit(4)).cast("int")
+        ok = year.between(F.lit(1990), scan_year + 1) & ~F.coalesce(F.array_contains(excluded, iso), F.lit(False))
+        return F.struct(F.when(ok, iso).alias("iso"), F.coalesce(ok & (scan_year - year > 2), F.lit(False)).alias("suspicious"))
+
+    return _once(_once(F.left(F.trim(candidate), F.lit(10)), of), checked)
 
 
 def paid_date(note: Column) -> Column:
