@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from letterloom.llm import canonical, names, pii, pii_table, scans, variants
+from letterloom.runtime import shared_folder
 
 
 def slow_distance(a, b):
@@ -170,6 +172,18 @@ def test_rounds_give_the_groups_of_one_task(spark):
     assert {r["node"]: r["label"] for r in variants.linkage_rounds(nodes, edges, 0.3).collect()} == variants.average_linkage(items, links, 0.3)
 
 
+def test_many_rounds_of_linkage_leave_a_small_plan(spark):
+    """One pair is merged in each round; the plan of a round doesn't carry the sizes of all rounds before, and their files
+    are removed."""
+    links = {(f"n{a}", f"n{b}"): 1 - b / 40 for b in range(8) for a in range(b)}
+    nodes, edges = spark.createDataFrame([(f"n{x}",) for x in range(8)], "node string"), spark.createDataFrame([(a, b, s) for (a, b), s in links.items()], "a string, b string, s double")
+    there = set(Path(shared_folder(spark)).glob("linkage-*"))
+    got = variants.linkage_rounds(nodes, edges, 0.3)
+    assert {r["node"]: r["label"] for r in got.collect()} == {f"n{x}": "n0" for x in range(8)}
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**9
+    assert len(set(Path(shared_folder(spark)).glob("linkage-*")) - there) == 1
+
+
 def test_average_linkage_merges_by_the_mean():
     # a-b and c-d are close; the one strong link between the two pairs is not enough on average.
     assert variants.average_linkage(list("abcd"), {("a", "b"): 0.9, ("c", "d"): 0.9, ("b", "c"): 0.8}, 0.5) == {"a": "a", "b": "a", "c": "c", "d": "c"}
